@@ -12,7 +12,14 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 
 def queries() -> dict[str, Query]:
-    return {"p1_found": general.p1_found}
+    return {
+        "p1_found": general.p1_found,
+        "p2_found": general.p2_found,
+        "p2_versions": general.p2_versions,
+        "p4_found": general.p4_found,
+        "p4_values": general.p4_values,
+        "p7_found": general.p7_found,
+    }
 
 
 def oracle_sql() -> dict[str, str]:

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from mergeloom.functions.core import digits, zip5
+from mergeloom.operators.history import value_history
 from mergeloom.operators.reconcile import count_mismatches, diff_copies
+from mergeloom.operators.snapshots import changed_values, snapshot_changes
+from mergeloom.operators.spatial import near_pairs
 from mergeloom.session import table
 
 COPY_FIELDS = [
@@ -18,3 +23,47 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = diff_copies(table(spark, sf_dir, "practices"), replica, "npi", COPY_FIELDS)
     counts = count_mismatches(table(spark, sf_dir, "sync_metadata"), replica, "npi", "import_batch_id", "table_name", "rows_synced", "practices/")
     return rows.unionByName(counts).distinct()
+
+
+def _history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return value_history(table(spark, sf_dir, "practice_changes"), "npi", "field_changed", "old_value", "new_value", "change_date", "created_at", "id")
+
+
+def _days(df: DataFrame, *cols: str) -> DataFrame:
+    return df.withColumns({c: F.date_format(c, "yyyy-MM-dd") for c in cols})
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _days(_history(spark, sf_dir), "valid_from", "valid_to").select("npi", "field_changed", "valid_from", "valid_to").distinct()
+
+
+def p2_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every version with its value."""
+    return _days(_history(spark, sf_dir), "valid_from", "valid_to").distinct()
+
+
+def _text(c: Column) -> Column:
+    return F.nullif(F.lower(F.trim(F.regexp_replace(c, " +", " "))), F.lit(""))
+
+
+def _phone(c: Column) -> Column:
+    d = digits(c)
+    return F.nullif(F.when((F.length(d) == 11) & d.startswith("1"), F.substring(d, 2, 10)).otherwise(d), F.lit(""))
+
+
+SNAPSHOT_FIELDS = {f: _text for f in ("practice_name", "address", "city", "state", "taxonomy_code")} | {"zip": lambda c: F.lower(zip5(c)), "phone": _phone}
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = snapshot_changes(table(spark, sf_dir, "practice_snapshots"), "npi", "snapshot_date", SNAPSHOT_FIELDS, ["last_updated", "loaded_at"])
+    return _days(found, "snapshot_date")
+
+
+def p4_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Old and new value of each changed field."""
+    found = changed_values(table(spark, sf_dir, "practice_snapshots"), "npi", "snapshot_date", SNAPSHOT_FIELDS, ["last_updated", "loaded_at"])
+    return _days(found, "snapshot_date")
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_pairs(table(spark, sf_dir, "practices"), "npi", "latitude", "longitude", 0.25)
