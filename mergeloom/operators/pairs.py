@@ -27,3 +27,19 @@ def member_pairs(members: DataFrame, group: str, key: str, chunk: int = CHUNK) -
     right = chunked.select("g", F.col("c").alias("c_b"), F.col("k").alias("b"))
     met = left.join(right, ["g", "c_b"]).filter("c_a <> c_b or a < b")
     return met.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
+
+
+def linked_member_pairs(links: DataFrame, members: DataFrame, group: str, key: str, chunk: int = CHUNK) -> DataFrame:
+    """Distinct (key_a, key_b), key_a < key_b, of members of two linked groups.
+
+    links: distinct (ga, gb), ga <> gb; members: (group, key) without repeats or nulls. Chunked as in `member_pairs`.
+    """
+    m = members.select(F.col(group).alias("g"), F.col(key).alias("k"))
+    sizes = m.groupBy("g").agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("n"))
+    touched = links.select(F.col("ga").alias("g")).unionByName(links.select(F.col("gb").alias("g"))).distinct()
+    sizes = sizes.join(touched, "g", "left_semi")
+    spread = links.join(sizes.toDF("ga", "na"), "ga").join(sizes.toDF("gb", "nb"), "gb")
+    spread = spread.withColumn("ca", F.explode(F.sequence(F.lit(0), F.col("na") - 1))).withColumn("cb", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
+    chunked = m.join(sizes, "g").select("g", F.pmod(F.hash("k"), F.col("n")).alias("c"), "k")
+    met = spread.join(chunked.toDF("ga", "ca", "a"), ["ga", "ca"]).select("a", "gb", "cb").join(chunked.toDF("gb", "cb", "b"), ["gb", "cb"]).filter("a <> b")
+    return met.select(F.least("a", "b").alias(f"{key}_a"), F.greatest("a", "b").alias(f"{key}_b")).distinct()
