@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from mergeloom.functions.core import nz
+from mergeloom.llm.addresses import same_building
 from mergeloom.llm.groups import group_records, star_links
 from mergeloom.llm.leaks import leaked, without_leaks
 from mergeloom.llm.mixing import mix
@@ -33,6 +34,10 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return group_records(links, "u", "v").toDF("group_npi", "npi")
 
 
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return same_building(table(spark, sf_dir, "practices"), "npi", "address", "city", "state", "zip")
+
+
 def _leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaked(table(spark, sf_dir, "documents"), "doc_id", "text", table(spark, sf_dir, "eval_items"), "item_id", "text")
 
@@ -81,6 +86,7 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p5_found": p5_found,
+        "p6_found": p6_found,
         "p8_found": p8_found,
         "p8_items": p8_items,
         "p8_clean": p8_clean,
