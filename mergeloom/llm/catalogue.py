@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions.core import nz
 from mergeloom.llm.addresses import same_building
 from mergeloom.llm.groups import group_records, star_links
+from mergeloom.llm.linkage import link
 from mergeloom.llm.leaks import leaked, without_leaks
 from mergeloom.llm.mixing import mix
 from mergeloom.llm.spans import shared_share, sharing_pairs
@@ -18,6 +19,34 @@ from mergeloom.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(source_table, source_id, npi, confidence, levels): offices and deal targets with their firms, estimated together."""
+    firms = table(spark, sf_dir, "practices").filter(F.col("entity_type").isin("organization", "2"))
+    offices = table(spark, sf_dir, "dso_locations").select(
+        F.concat(F.lit("dso_locations:"), "id").alias("id"), F.col("location_name").alias("name"), "phone", "address", "city", "state", "zip"
+    )
+    targets = table(spark, sf_dir, "deals").select(
+        F.concat(F.lit("deals:"), "id").alias("id"), F.col("target_name").alias("name"), F.col("target_city").alias("city"),
+        F.col("target_state").alias("state"), F.col("target_zip").alias("zip"),
+    )
+    places = {c: c for c in ("phone", "address", "zip", "city", "state")}
+    found = link(
+        offices.unionByName(targets, allowMissingColumns=True), {"id": "id", "names": ["name"]} | places,
+        firms, {"id": "npi", "names": ["practice_name", "doing_business_as"]} | places,
+    )
+    part = F.split("left_id", ":")
+    return found.select(part[0].alias("source_table"), part[1].cast("bigint").alias("source_id"), F.col("right_id").alias("npi"), "confidence", "name_level", "phone_level", "address_level", "place_level")
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _matches(spark, sf_dir).select("source_table", "source_id", "npi").distinct()
+
+
+def p3_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matches with their confidence and the agreement of each field."""
+    return _matches(spark, sf_dir)
+
+
 #: Group ids that stand for no group (fixed values of the data).
 NO_GROUP = ["n/a", "mc_0000"]
 
@@ -85,6 +114,8 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p3_found": p3_found,
+        "p3_matches": p3_matches,
         "p5_found": p5_found,
         "p6_found": p6_found,
         "p8_found": p8_found,
