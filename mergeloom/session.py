@@ -12,7 +12,8 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 _LOCAL_DIR: list[str] = []
 
@@ -62,16 +63,20 @@ class Scratch:
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
-        self.paths: dict[int, str] = {}
 
     def cut(self, df: DataFrame) -> DataFrame:
         path = new_path(self.spark)
         df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
         out._scratch_path = path
         return out
 
+    def cut_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """The cut table and the number of its rows for which `what` holds, counted while it is written."""
+        seen = Observation()
+        out = self.cut(df.observe(seen, F.count_if(what).alias("n")))
+        return out, int(seen.get["n"])
+
     def free(self, *dfs: DataFrame) -> None:
         for df in dfs:
             path = getattr(df, "_scratch_path", None)
