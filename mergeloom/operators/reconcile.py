@@ -211,6 +211,8 @@ def differing_keys(a: DataFrame, b: DataFrame, scratch: Scratch, bucket_rows: in
             return some.mapInArrow(lambda it: _evaluate(it, points), "bucket bigint, n bigint, ev array<bigint>").toDF("bucket", n, ev)
 
         both = sketch(ha, "na", "ea").join(sketch(hb, "nb", "eb"), "bucket", "full").filter("not (na <=> nb and ea <=> eb)")
+        # Decoding costs far more than its few bytes suggest: an explicit number of partitions is not coalesced.
+        both = both.repartition(int(a.sparkSession.conf.get("spark.sql.shuffle.partitions")), "bucket")
         decoded = scratch.cut(both.mapInArrow(_decode, "bucket bigint, ok boolean, num array<bigint>, den array<bigint>"))
         tried = (
             decoded.filter("ok")
@@ -282,8 +284,9 @@ def diff_copies(source: DataFrame, replica: DataFrame, key: str, fields: list[st
 
     Keys are compared trimmed; rows whose key is null or blank cannot be compared and are left out. Strings are
     compared trimmed and case-sensitively with blank as null, doubles up to 0.000001, NaN equals NaN, null differs
-    from every value. A key may occur any number of times on either side: a field differs if some row of one side
-    differs from some row of the other, exact copies change nothing. Other columns are ignored. Empty tables are
+    from every value. A key may occur any number of times on either side: it is in order if both sides hold the same
+    set of rows for it, else a field differs if some row of one side differs from some row of the other; exact copies
+    change nothing. Other columns are ignored. Empty tables are
     allowed: every key of the other side is then missing.
     """
     scratch = Scratch(source.sparkSession)
