@@ -69,7 +69,7 @@ def budgets(leaves: list[tuple[tuple[str, ...], float, float]], amount: float) -
             room[path[:i]] += r
             if i < len(path):
                 below[path[:i]].add(path[: i + 1])
-    out, open_ = {}, [((), min(amount, room[()]))]
+    out, open_ = {}, [((), min(amount, room[()]))] if leaves else []
     while open_:
         node, a = open_.pop()
         if node not in below:
