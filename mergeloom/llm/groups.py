@@ -41,14 +41,15 @@ def _decompose(edges: DataFrame, level: int, scratch: Scratch) -> DataFrame:
         offers = edges.join(fresh, "u").select("v", "k", "c").filter(F.col("k") > _head_start(F.col("v"), level))
         best = offers.groupBy("v").agg(F.max(F.struct("k", "c")).alias("b"))
         better = F.coalesce(F.col("b.k") > F.col("k"), F.lit(False))
-        grown = scratch.cut(
+        grown, changed = scratch.cut_counting(
             state.join(best, "v", "left").select(
                 "v", F.when(better, F.col("b.k")).otherwise(F.col("k")).alias("k"), F.when(better, F.col("b.c")).otherwise(F.col("c")).alias("c"), better.alias("new")
-            )
+            ),
+            F.col("new"),
         )
         scratch.free(state)
         state = grown
-        if state.filter("new").isEmpty():
+        if not changed:
             return state.select("v", "c")
 
 
@@ -60,14 +61,14 @@ def group_records(links: DataFrame, u: str, v: str) -> DataFrame:
     """
     scratch = Scratch(links.sparkSession)
     one = links.select(F.col(u).cast("string").alias("u"), F.col(v).cast("string").alias("v")).filter("u <> v")
-    edges = scratch.cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    edges, left = scratch.cut_counting(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), F.lit(True))
     maps = []
-    while not edges.isEmpty():
+    while left:
         centre = _decompose(edges, len(maps), scratch)
         maps.append(centre)
-        left, right = centre.toDF("u", "cu"), centre.toDF("v", "cv")
-        across = edges.join(left, "u").select("cu", "v").join(right, "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
-        smaller = scratch.cut(across)
+        from_, to = centre.toDF("u", "cu"), centre.toDF("v", "cv")
+        across = edges.join(from_, "u").select("cu", "v").join(to, "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+        smaller, left = scratch.cut_counting(across, F.lit(True))
         scratch.free(edges)
         edges = smaller
     if not maps:
