@@ -186,12 +186,16 @@ def same_building(rows: DataFrame, key: str, address: str, city: str, state: str
 
     tail = F.aggregate(F.reverse("v"), F.array(F.lit(0.0), F.lit(0.0)), longer)
     prefix = F.transform(F.slice("v", F.lit(1), F.greatest(F.size("v") - tail[1].cast("int"), F.lit(1))), lambda x: x["g"])
-    places = F.array_compact(F.array(F.concat(F.lit("z"), F.col("zip")), F.concat(F.lit("s"), F.coalesce("state", F.lit("")))))
+    places = F.array_compact(F.array(F.concat(F.lit("z"), F.col("zip")), F.concat(F.lit("s"), F.col("state"))))
     known = scratch.cut(classes.join(vectors, "id"))
-    keyed = known.select("id", "number", F.explode(places).alias("at"), prefix.alias("p")).select("id", "number", "at", F.explode("p").alias("g"))
-    token = F.xxhash64("number", "at", "g").alias("t")
-    lists = scratch.cut(keyed.select("id", token).distinct())
-    met = lists.toDF("id_a", "t").join(lists.toDF("id_b", "t"), "t").filter("id_a < id_b").select("id_a", "id_b").distinct()
+    keyed = known.select("id", "number", "state", places.alias("at"), F.explode(prefix).alias("g"))
+    lists = scratch.cut(keyed.select("id", "number", "g", F.explode("at").alias("at")).select("id", F.xxhash64("number", "at", "g").alias("t")).distinct())
+    met = lists.toDF("id_a", "t").join(lists.toDF("id_b", "t"), "t").filter("id_a < id_b").select("id_a", "id_b")
+    # Addresses without a state meet all others by number and bigram alone.
+    bare = keyed.select("id", F.col("state").isNull().alias("lost"), F.xxhash64("number", "g").alias("t")).distinct()
+    lost = bare.filter("lost").select(F.col("id").alias("id_a"), "t")
+    anywhere = lost.join(bare.select(F.col("id").alias("id_b"), "t"), "t").filter("id_a <> id_b").select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+    met = met.unionByName(anywhere).distinct()
     a = known.select(*[F.col(x).alias(f"{x}_a") for x in ("id", *kind, "v")])
     b = known.select(*[F.col(x).alias(f"{x}_b") for x in ("id", *kind, "v")])
     pairs = met.join(a, "id_a").join(b, "id_b").filter((F.col("number_a") == F.col("number_b")) & alike("dir_a", "dir_b") & alike("type_a", "type_b") & same_place("_a", "_b"))
