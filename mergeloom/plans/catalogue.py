@@ -2,25 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-from mergeloom.plans import general
-
-Query = Callable[[SparkSession, str], DataFrame]
+from mergeloom.plans import cleaning, general, linking, reporting, streams  # noqa: F401  (the modules fill the registry)
+from mergeloom.plans.registry import QUERIES, SQL, Query
 
 
 def queries() -> dict[str, Query]:
-    return {
-        "p1_found": general.p1_found,
-        "p2_found": general.p2_found,
-        "p2_versions": general.p2_versions,
-        "p4_found": general.p4_found,
-        "p4_values": general.p4_values,
-        "p7_found": general.p7_found,
-    }
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
