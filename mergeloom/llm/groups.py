@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 
 from mergeloom.session import Scratch
 
-#: Rate of the head starts: an edge runs between clusters with probability about 1-exp(-RATE).
-RATE = 0.35
+#: Rate of the head starts at the first level, where an edge runs between clusters with probability of about 1-exp(-RATE),
+#: and the longest head start, which bounds the depth of a cluster and the steps of the level. At each further level,
+#: the graph being smaller, the rate is halved and the bound doubled.
+RATE, DEPTH = 0.25, 8
 #: Branches of the star that stands for one group id.
 BRANCHES = 256
 
@@ -29,7 +31,7 @@ def star_links(members: DataFrame, group: str, key: str) -> DataFrame:
 
 def _head_start(v: Column, level: int) -> Column:
     uniform = (F.shiftrightunsigned(F.xxhash64(v, F.lit(level)), 11).cast("double") + 1) / float(1 << 53)
-    return -F.log(uniform) / RATE
+    return F.least(-F.log(uniform) * (2.0**level / RATE), F.lit(DEPTH * 2.0**level))
 
 
 def _decompose(edges: DataFrame, level: int, scratch: Scratch) -> DataFrame:
