@@ -128,5 +128,24 @@ def queries() -> dict[str, Query]:
     }
 
 
+_P5_SQL = """with recursive s as (select distinct npi from practice_signals where npi is not null),
+ k as (select 's' || lower(trim(stealth_dso_cluster_id)) g, npi from practice_signals where lower(trim(coalesce(stealth_dso_cluster_id, ''))) not in ('', 'n/a', 'mc_0000') union select 'm' || lower(trim(micro_cluster_id)), npi from practice_signals where lower(trim(coalesce(micro_cluster_id, ''))) not in ('', 'n/a', 'mc_0000')),
+ m as (select g, min(npi) a from k group by 1), e as (select trim(npi_a) a, trim(npi_b) b from practice_links where trim(npi_a) in (select npi from s) and trim(npi_b) in (select npi from s) union select m.a, k.npi from k join m using (g)),
+ f as (select a, b from e where a <> b union select b, a from e where a <> b), r(v, c) as (select a, a from f union select f.b, r.c from r join f on r.v = f.a)
+select min(c) group_npi, v npi from r group by v"""
+
+_WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
+_GRAMS = "select {1} id, array_to_string(w[i : i + 11], ' ') g from (select {1}, " + _WORDS + " w from {2}), unnest(range(1, len(w) - 10)) t(i)"
+_LEAKS = f"with d as ({_GRAMS.format('text', 'doc_id', 'documents')}), q as ({_GRAMS.format('text', 'item_id', 'eval_items')}), l as (select distinct d.id doc_id, q.id item_id from d join q using (g)) "
+
+_WINDOWS = """with w as (select distinct doc_id, i, hash(substr(text, i, 240)) h from documents, unnest(range(1, length(text) - 238)) t(i)), r as (select h from w group by 1 having min(doc_id) <> max(doc_id)), k as (select doc_id, i, h from w semi join r using (h)) """
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the queries that have an exact result; p3, p6 and p9 are tested against planted cases and brute force."""
+    return {
+        "p5_found": _P5_SQL,
+        "p8_found": _LEAKS + "select doc_id, item_id from l",
+        "p8_clean": _LEAKS + "select doc_id, source, n_chars from documents where doc_id not in (select doc_id from l)",
+        "p10_found": _WINDOWS + "select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from k a join k b on a.h = b.h where a.doc_id < b.doc_id",
+    }
