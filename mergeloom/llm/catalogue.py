@@ -32,7 +32,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = {c: c for c in ("phone", "address", "zip", "city", "state")}
     found = link(
         offices.unionByName(targets, allowMissingColumns=True), {"id": "id", "names": ["name"]} | places,
-        firms, {"id": "npi", "names": ["practice_name", "doing_business_as"]} | places,
+        firms, {"id": "npi", "names": ["practice_name", "doing_business_as"]} | places, accept=0.4,
     )
     part = F.split("left_id", ":")
     return found.select(part[0].alias("source_table"), part[1].cast("bigint").alias("source_id"), F.col("right_id").alias("npi"), "confidence", "name_level", "phone_level", "address_level", "place_level")

@@ -31,7 +31,7 @@ LONG_FORMS = {
 ZONE, STOP = 0.0005, 0.01
 FIELDS = ("name", "phone", "address", "place")
 #: Levels of agreement of each field; level 0 is no agreement, the last level is missing.
-LEVELS = {"name": 7, "phone": 3, "address": 6, "place": 5}
+LEVELS = {"name": 8, "phone": 3, "address": 6, "place": 5}
 
 
 def name_words(name: Column) -> Column:
@@ -120,49 +120,72 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-#: Weight from which a word on either side without a partner shows two names to be different.
-_TELLING = float(np.log(1 + 1 / STOP))
+#: Longer words of which a misspelt word may be a form.
+_SPELT = {w: LONG_FORMS[w] for w in LONG_FORMS if len(w) > 5} | {w: w for w in LONG_FORMS.values() if len(w) > 5} | {"maxillofacial": ""}
 
 
-def name_score(a: list[tuple[str, float]], b: list[tuple[str, float]]) -> float:
-    """Weight of the words that two names share, up to typing errors, against the weight of all their words.
+def respell(word: str) -> str | None:
+    """The common word that this one misspells, '' for one that carries no name, None if there is none."""
+    most = 1 if len(word) < 8 else 2
+    near = min(((edits(word, k, most), k) for k in _SPELT if abs(len(k) - len(word)) <= most), default=(9, ""))
+    return _SPELT[near[1]] if near[0] <= most else None
 
-    A mistyped word weighs as little as the word it stands for. If both names keep a telling word to themselves, the
-    score is cut to a third.
+
+def name_score(a: list[tuple[str, float]], b: list[tuple[str, float]], telling: float) -> tuple[float, float]:
+    """(weight of the words that two names share, up to typing errors, against that of all their words; greatest weight shared).
+
+    A mistyped word weighs as little as the word it stands for. If both names keep a word of at least the `telling`
+    weight to themselves, the score is cut to a third.
     """
-    total, free, shared, rest = 0.0, dict(b), 0.0, []
+    total, free, shared, rest, strongest = 0.0, dict(b), 0.0, [], 0.0
     for t, w in a:
         if t in free:
-            shared += w + free[t]
-            total += w + free.pop(t)
+            w = min(w, free.pop(t))
+            shared += 2 * w
+            total += 2 * w
+            strongest = max(strongest, w)
         else:
             rest.append((t, w))
     alone = False
     for t, w in rest:
-        most = 0 if len(t) < 4 else 1 if len(t) < 8 else 2
+        most = 0 if len(t) < 4 else 1 if len(t) < 6 else 2
         far, hit = min(((edits(t, x, most), x) for x in free), default=(99, ""))
         if far <= most:
             least = min(w, free.pop(hit))
-            shared += (0.97 if least < _TELLING else 0.88 if far == 1 else 0.7) * 2 * least
+            shared += (0.97 if least < telling else 0.88 if far == 1 else 0.6) * 2 * least
             total += 2 * least
+            strongest = max(strongest, least if far == 1 else 0.0)
         else:
-            alone |= w >= _TELLING
+            alone |= w >= telling
             total += w
     total += sum(free.values())
     score = shared / total if total else 0.0
-    return score / 3 if alone and any(w >= _TELLING for w in free.values()) else score
+    return (score / 3 if alone and any(w >= telling for w in free.values()) else score), strongest
 
 
-def _variants(words: list[dict] | None) -> list[list[tuple[str, float]]]:
-    by: dict[int, list[tuple[str, float]]] = {}
+def _variants(words: list[dict] | None, telling: float) -> list[list[tuple[str, float]]]:
+    by: dict[int, dict[str, float]] = {}
     for x in words or []:
-        by.setdefault(x["v"], []).append((x["t"], x["w"]))
-    return list(by.values())
+        t, w = x["t"], x["w"]
+        if w >= telling and len(t) > 4 and (plain := respell(t)) is not None:
+            t, w = plain, 1.0
+        if t:
+            by.setdefault(x["v"], {}).setdefault(t, w)
+    return [list(n.items()) for n in by.values()]
 
 
 _NAME_STEPS = (0.12, 0.35, 0.6, 0.8, 0.93)
 
 
+def _name_level(a: list[list[tuple[str, float]]], b: list[list[tuple[str, float]]], telling: float, rare: float) -> int:
+    """0 to 5 by the best score of any two variants, 6 if the best also shares a rare word, 7 missing."""
+    best = max((name_score(x, y, telling) for x in a for y in b), default=None)
+    if best is None:
+        return 7
+    level = sum(best[0] >= s for s in _NAME_STEPS)
+    return 6 if level == 5 and best[1] >= rare else level
+
+
 def _street_level(d: dict, i: int) -> int:
     """0 other, 1 same number or street only, 2 same building, other unit, 3 same building, unit open, 4 same unit, 5 missing."""
     na, nb = d["number_a"][i], d["number_b"][i]
@@ -191,14 +214,12 @@ def _place_level(d: dict, i: int) -> int:
     return 1 if sa and sb and sa == sb else 0
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _compare(batches: Iterator[pa.RecordBatch], telling: float, rare: float) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d = batch.to_pydict()
         out: dict[str, list[int]] = {f: [] for f in FIELDS}
         for i in range(batch.num_rows):
-            a, b = _variants(d["words_a"][i]), _variants(d["words_b"][i])
-            best = max((name_score(x, y) for x in a for y in b), default=None)
-            out["name"].append(6 if best is None else sum(best >= s for s in _NAME_STEPS))
+            out["name"].append(_name_level(_variants(d["words_a"][i], telling), _variants(d["words_b"][i], telling), telling, rare))
             pa_, pb = d["phone_a"][i], d["phone_b"][i]
             out["phone"].append(2 if not pa_ or not pb else int(pa_ == pb))
             out["address"].append(_street_level(d, i))
@@ -260,7 +281,8 @@ def link(left: DataFrame, left_cols: dict, right: DataFrame, right_cols: dict, a
     side = lambda x, s: _weighted(x, df, total).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "words", "phone", "number", "dir", "street", "type", "unit", "zip", "city", "state")])
     both = met.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b")
     kinds = f"id_a {dict(a.dtypes)['id']}, id_b {dict(b.dtypes)['id']}, " + ", ".join(f"{f} int" for f in FIELDS)
-    levels = scratch.cut(both.mapInArrow(_compare, kinds))
+    telling, rare = (float(np.log(1 + min(1 / x, total / 3))) for x in (STOP, ZONE))
+    levels = scratch.cut(both.mapInArrow(lambda it: _compare(it, telling, rare), kinds))
     # At most one row per pattern of levels, a number fixed by the levels.
     patterns = [(tuple(r[f] for f in FIELDS), r["n"]) for r in levels.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).collect()]
     share, m, u = estimate(patterns)

@@ -1,7 +1,7 @@
 import numpy as np
 from conftest import rows
 
-from mergeloom.llm.linkage import FIELDS, LEVELS, edits, estimate, link, name_score
+from mergeloom.llm.linkage import FIELDS, LEVELS, edits, estimate, link, name_score, respell
 
 LEFT = "id string, title string, phone string, address string, zip string, city string, state string, words string"
 RIGHT = "npi string, name string, dba string, phone string, address string, zip string, city string, state string, id bigint"
@@ -55,6 +55,7 @@ def test_estimation_recovers_the_classes():
 def test_names_and_edits():
     assert edits("abc", "acb", 2) == 1 and edits("abcdef", "abdef", 1) == 1 and edits("abc", "xyz", 1) == 2
     w = lambda *t: [(x, 8.0 if x[0].isupper() else 1.0) for x in t]
-    assert name_score(w("Kelnan", "dental"), w("Kelnan", "dental")) == 1
-    assert name_score(w("Kelnan", "dental"), w("Broxet", "dental")) < 0.12
-    assert name_score([], []) == 0
+    assert name_score(w("Kelnan", "dental"), w("Kelnan", "dental"), 4.6) == (1, 8)
+    assert name_score(w("Kelnan", "dental"), w("Broxet", "dental"), 4.6)[0] < 0.12
+    assert name_score([], [], 4.6) == (0, 0)
+    assert respell("dentstry") == "dental" and respell("aestheic") == "cosmetic" and respell("kelnan") is None
