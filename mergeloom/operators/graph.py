@@ -16,26 +16,26 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     ignored. Each round is written to the shared folder.
     """
     scratch = Scratch(edges.sparkSession)
+    # A round changed nothing if number, sum and exclusive-or of the edges' hashes are as before.
+    marks = {"n": F.count(F.lit(1)), "x": F.bit_xor(F.xxhash64("u", "v")), "s": F.sum(F.xxhash64("u", "v") % (1 << 31))}
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
-    e, n = scratch.cut_counting(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), F.lit(True))
+    e, before = scratch.cut_watching(e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), **marks)
 
     def star(pairs: DataFrame) -> DataFrame:
-        """Links all of a vertex's given neighbours, and itself, to the least of them."""
-        least = pairs.groupBy("u").agg(F.min("v").alias("m"))
-        joined = pairs.join(least, "u")
-        return joined
+        """Each pair (u, v) with the least v of u."""
+        return pairs.join(pairs.groupBy("u").agg(F.min("v").alias("m")), "u")
 
-    while n:
+    while before["n"]:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).select("u", "v", F.least("u", "m").alias("m")).filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = star(both).filter("v > u").select(F.col("v").alias("u"), F.least("u", "m").alias("v")).distinct()
         small = star(large)
-        small = small.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).filter("u <> v").distinct()
-        new = scratch.cut(small)
-        changed = new.join(e, ["u", "v"], "left_anti").isEmpty() and e.join(new, ["u", "v"], "left_anti").isEmpty()
+        small = small.select(F.greatest("v", "m").alias("u"), F.least("v", "m").alias("v")).unionByName(small.select("u", F.col("m").alias("v")))
+        new, after = scratch.cut_watching(small.filter("u <> v").distinct(), **marks)
         scratch.free(e)
         e = new
-        if changed:
+        if after == before:
             break
+        before = after
     return e.select(F.col("u").alias("vertex"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("vertex"), F.col("v").alias("component"))).distinct()
 
 

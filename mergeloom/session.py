@@ -71,11 +71,16 @@ class Scratch:
         out._scratch_path = path
         return out
 
-    def cut_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
-        """The cut table and the number of its rows for which `what` holds, counted while it is written."""
+    def cut_watching(self, df: DataFrame, **aggregates: Column) -> tuple[DataFrame, dict]:
+        """The cut table, and aggregates of its rows taken while it is written."""
         seen = Observation()
-        out = self.cut(df.observe(seen, F.count_if(what).alias("n")))
-        return out, int(seen.get["n"])
+        out = self.cut(df.observe(seen, *[a.alias(n) for n, a in aggregates.items()]))
+        return out, seen.get
+
+    def cut_counting(self, df: DataFrame, what: Column) -> tuple[DataFrame, int]:
+        """The cut table and the number of its rows for which `what` holds."""
+        out, seen = self.cut_watching(df, n=F.count_if(what))
+        return out, int(seen["n"])
 
     def free(self, *dfs: DataFrame) -> None:
         for df in dfs:
