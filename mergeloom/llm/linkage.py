@@ -102,9 +102,25 @@ def _weighted(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
     return side.drop("names").join(lists, "id", "left")
 
 
+#: What a task has found out about words, kept while it is small.
+_MASKS: dict[str, int] = {}
+_SPELLINGS: dict[str, str | None] = {}
+_MOST_KEPT = 1 << 16
+
+
+def _letters(word: str) -> int:
+    """The set of the word's letters as bits."""
+    mask = _MASKS.get(word)
+    if mask is None:
+        if len(_MASKS) >= _MOST_KEPT:
+            _MASKS.clear()
+        mask = _MASKS[word] = sum({1 << (ord(c) & 31) for c in word})
+    return mask
+
+
 def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours between two words, most + 1 if more."""
-    if abs(len(a) - len(b)) > most:
+    if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
     before, last = [], list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
@@ -126,9 +142,13 @@ _SPELT = {w: LONG_FORMS[w] for w in LONG_FORMS if len(w) > 5} | {w: w for w in L
 
 def respell(word: str) -> str | None:
     """The common word that this one misspells, '' for one that carries no name, None if there is none."""
-    most = 1 if len(word) < 8 else 2
-    near = min(((edits(word, k, most), k) for k in _SPELT if abs(len(k) - len(word)) <= most), default=(9, ""))
-    return _SPELT[near[1]] if near[0] <= most else None
+    if word not in _SPELLINGS:
+        if len(_SPELLINGS) >= _MOST_KEPT:
+            _SPELLINGS.clear()
+        most = 1 if len(word) < 8 else 2
+        near = min(((edits(word, k, most), k) for k in _SPELT if abs(len(k) - len(word)) <= most), default=(9, ""))
+        _SPELLINGS[word] = _SPELT[near[1]] if near[0] <= most else None
+    return _SPELLINGS[word]
 
 
 def name_score(a: list[tuple[str, float]], b: list[tuple[str, float]], telling: float) -> tuple[float, float]:
@@ -215,7 +235,7 @@ def _place_level(d: dict, i: int) -> int:
 
 
 def _compare(batches: Iterator[pa.RecordBatch], telling: float, rare: float) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
         d = batch.to_pydict()
         out: dict[str, list[int]] = {f: [] for f in FIELDS}
         for i in range(batch.num_rows):
