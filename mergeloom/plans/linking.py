@@ -169,9 +169,10 @@ def mirror_pairs(spark: SparkSession, d: str) -> DataFrame:
     from mergeloom.operators.vectors import nearest
 
     f = _zip_features(spark, d)
-    stats = f.agg(*[g(f"f{i}").alias(f"{n}{i}") for i in range(4) for g, n in ((F.avg, "m"), (F.stddev_pop, "s"))])
-    v = F.array(*[(F.col(f"f{i}") - F.col(f"m{i}")) / F.when(F.col(f"s{i}") == 0, 1.0).otherwise(F.col(f"s{i}")) for i in range(4)])
-    z = f.crossJoin(F.broadcast(stats)).select("z", v.alias("v"))
+    stats = f.agg(F.struct(*[g(f"f{i}").alias(f"{n}{i}") for i in range(4) for g, n in ((F.avg, "m"), (F.stddev_pop, "s"))]).alias("q"))
+    f = f.withColumn("q", stats.scalar())
+    v = F.array(*[(F.col(f"f{i}") - F.col(f"q.m{i}")) / F.when(F.col(f"q.s{i}") == 0, 1.0).otherwise(F.col(f"q.s{i}")) for i in range(4)])
+    z = f.select("z", v.alias("v"))
     return nearest(z, z, "z", "v", 5, 0.9, digits=4).toDF("z", "mirror", "cos")
 
 
@@ -281,8 +282,8 @@ def row_diff_events(spark: SparkSession, d: str) -> DataFrame:
 def watermark_pull(spark: SparkSession, d: str) -> DataFrame:
     """New ids and late updates past a watermark."""
     p = table(spark, d, "practices")
-    w = p.agg((F.max("id") - 500).alias("last_id"), (F.max("updated_at") - F.expr("interval 30 days")).alias("last_sync"))
-    return pull(p.crossJoin(F.broadcast(w)), "id", F.col("last_id"), "updated_at", F.col("last_sync")).select("npi", "id")
+    last_id, last_sync = p.agg(F.max("id") - 500).scalar(), p.agg(F.max("updated_at") - F.expr("interval 30 days")).scalar()
+    return pull(p, "id", last_id, "updated_at", last_sync).select("npi", "id")
 
 
 @query(f"""select coalesce(p.npi, r.npi) npi, coalesce(r.practice_name, p.practice_name) practice_name, coalesce(r.city, p.city) city, case when p.npi is null or p.ownership_status is null or p.ownership_status='unknown' then coalesce(r.ownership_status, p.ownership_status) else p.ownership_status end ownership_status from practices p full join {_R} r on p.npi=r.npi""")

@@ -61,8 +61,8 @@ def enrichment_coverage(spark: SparkSession, d: str) -> DataFrame:
 @query("""select pe_sponsor, count(*) deals, count(distinct lower(platform_company)) platforms, round(100.0*count(*)/(select count(*) from deals where pe_sponsor is not null),2) share_pct from deals where pe_sponsor is not null group by 1 order by 2 desc, 1 limit 15""")
 def deals_by_sponsor(spark: SparkSession, d: str) -> DataFrame:
     g = _deals(spark, d).filter("pe_sponsor is not null").groupBy("pe_sponsor").agg(F.count(F.lit(1)).alias("deals"), F.countDistinct(F.lower("platform_company")).alias("platforms"))
-    total = g.agg(F.sum("deals").alias("total"))
-    return g.crossJoin(F.broadcast(total)).select("pe_sponsor", "deals", "platforms", F.round(F.col("deals") * 100.0 / F.col("total"), 2).alias("share_pct")).orderBy(F.desc("deals"), "pe_sponsor").limit(15)
+    total = g.agg(F.sum("deals")).scalar()
+    return g.select("pe_sponsor", "deals", "platforms", F.round(F.col("deals") * 100.0 / total, 2).alias("share_pct")).orderBy(F.desc("deals"), "pe_sponsor").limit(15)
 
 
 @query("""select upper(trim(state)) st, affiliated_dso, count(*) n from practices where affiliated_dso is not null and nullif(trim(state),'') is not null group by 1,2""")

@@ -58,6 +58,12 @@ def new_path(spark: SparkSession) -> str:
     return f"{shared_dir(spark)}/mergeloom/{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
 
 
+def drop_scratch(spark: SparkSession) -> None:
+    """Removes all cut tables of this application; results that still read them must have been written before."""
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/mergeloom/{spark.sparkContext.applicationId}")
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
 class Scratch:
     """Cut tables of one operator call; ``free`` removes those that no later step reads."""
 
