@@ -29,6 +29,8 @@ LONG_FORMS = {
 }
 #: Share of right-hand names above which a word blocks only with the ZIP or city, and above which it blocks not at all.
 ZONE, STOP = 0.0005, 0.01
+#: Numbers of right-hand names up to which a word counts as below these shares, however few names there are.
+ZONE_LEAST, STOP_LEAST = 50, 1000
 FIELDS = ("name", "phone", "address", "place")
 #: Levels of agreement of each field; level 0 is no agreement, the last level is missing.
 LEVELS = {"name": 8, "phone": 3, "address": 6, "place": 5}
@@ -76,8 +78,8 @@ def _keys(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
     n = F.length("t")
     cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(F.col("t"), F.lit(1), i - 1), F.substring(F.col("t"), i + 1, n)))
     forms = F.when(n >= 5, F.array_distinct(F.concat(F.array("t"), cut))).otherwise(F.array("t"))
-    rare = words.filter(F.col("df") <= ZONE * total).withColumn("f", F.explode(forms)).select("id", F.explode(F.array(key("st", F.col("state"), F.col("f")), key("zt", F.col("zip"), F.col("f")))).alias("key"))
-    zone = words.filter(F.col("df") <= STOP * total).select("id", F.explode(F.array(key("zw", F.col("zip"), F.col("t")), key("cw", F.col("city"), F.col("t")))).alias("key"))
+    rare = words.filter(F.col("df") <= max(ZONE * total, ZONE_LEAST)).withColumn("f", F.explode(forms)).select("id", F.explode(F.array(key("st", F.col("state"), F.col("f")), key("zt", F.col("zip"), F.col("f")))).alias("key"))
+    zone = words.filter(F.col("df") <= max(STOP * total, STOP_LEAST)).select("id", F.explode(F.array(key("zw", F.col("zip"), F.col("t")), key("cw", F.col("city"), F.col("t")))).alias("key"))
     # Names of common words only: all of them together.
     whole = side.select("id", "zip", "city", F.explode("names").alias("n")).withColumn("n", F.array_join(F.array_sort("n"), " "))
     whole = whole.select("id", F.explode(F.array(key("za", F.col("zip"), F.col("n")), key("ca", F.col("city"), F.col("n")))).alias("key"))
@@ -87,6 +89,18 @@ def _keys(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
     return out.filter("key is not null").distinct()
 
 
+def frequencies(side: DataFrame) -> DataFrame:
+    """(t, df): the number of records whose names have a word."""
+    return side.select("id", F.explode(F.array_distinct(F.flatten("names"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
+
+
+def candidates(a: DataFrame, b: DataFrame, df: DataFrame | None = None, total: int | None = None) -> DataFrame:
+    """(id_a, id_b): pairs of prepared records that have a blocking key in common. df, total: word frequencies and size of b."""
+    df, total = frequencies(b) if df is None else df, max(1, b.count()) if total is None else total
+    ka, kb = _keys(a, df, total).toDF("id_a", "key"), _keys(b, df, total).toDF("id_b", "key")
+    return ka.join(kb, "key").select("id_a", "id_b").distinct()
+
+
 def _all(parts: tuple[Column, ...]) -> Column:
     ok = F.lit(True)
     for p in parts:
@@ -294,10 +308,8 @@ def link(left: DataFrame, left_cols: dict, right: DataFrame, right_cols: dict, a
     scratch = Scratch(left.sparkSession)
     a, b = scratch.cut(_prepared(left, left_cols)), scratch.cut(_prepared(right, right_cols))
     total = max(1, b.count())
-    df = b.select("id", F.explode(F.array_distinct(F.flatten("names"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
-    df = scratch.cut(df)
-    ka, kb = _keys(a, df, total).toDF("id_a", "key"), _keys(b, df, total).toDF("id_b", "key")
-    met = ka.join(kb, "key").select("id_a", "id_b").distinct()
+    df = scratch.cut(frequencies(b))
+    met = candidates(a, b, df, total)
     side = lambda x, s: _weighted(x, df, total).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "words", "phone", "number", "dir", "street", "type", "unit", "zip", "city", "state")])
     both = met.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b")
     kinds = f"id_a {dict(a.dtypes)['id']}, id_b {dict(b.dtypes)['id']}, " + ", ".join(f"{f} int" for f in FIELDS)

@@ -1,7 +1,8 @@
 import numpy as np
+import pytest
 from conftest import rows
 
-from mergeloom.llm.linkage import FIELDS, LEVELS, edits, estimate, link, name_score, respell
+from mergeloom.llm.linkage import FIELDS, LEVELS, _prepared, candidates, edits, estimate, link, name_score, respell
 
 LEFT = "id string, title string, phone string, address string, zip string, city string, state string, words string"
 RIGHT = "npi string, name string, dba string, phone string, address string, zip string, city string, state string, id bigint"
@@ -32,6 +33,22 @@ def test_finds_the_planted_matches(spark):
     assert all(0.5 <= r.confidence <= 1 for r in found.collect())
 
 
+def met(spark, firms, names):
+    """Indices of the (name, zip, city, state) records that meet the first firm; none has a telephone or an address."""
+    lc, rc = {"id": "id", "names": ["title"]} | COLS, {"id": "npi", "names": ["name", "dba"]} | COLS
+    right = spark.createDataFrame([(f"r{i:05}", n, None, None, None, z, c, s, 1) for i, (n, z, c, s) in enumerate(firms)], RIGHT)
+    left = spark.createDataFrame([(str(i), n, None, None, z, c, s, "") for i, (n, z, c, s) in enumerate(names)], LEFT)
+    pairs = candidates(_prepared(left, lc), _prepared(right, rc))
+    return {int(r.id_a) for r in pairs.filter("id_b = 'r00000'").collect()}
+
+
+@pytest.mark.parametrize("firms", [12, 400])
+def test_misspelt_names_meet_in_small_tables(spark, firms):
+    right = [("Skubbird Dental Studio", "60001", "Elmton", "GA")] + [(f"{STEMS[i % 11 + 1]} {i} Dental Studio", f"7{i:04}", "Faraway", "TX") for i in range(firms)]
+    left = [("Skubbrd Dental Studio", None, None, "GA"), ("Skubbrd Dental Care", "60001", None, None), ("Skubbird Orthodontics", None, "Elmton", None), ("Skubbird Dental", None, None, "TX")]
+    assert met(spark, right, left) == {0, 1, 2}
+
+
 def test_empty(spark):
     left, right, _ = tables(spark)
     cols = ({"id": "id", "names": ["title"]} | COLS, {"id": "npi", "names": ["name", "dba"]} | COLS)
