@@ -13,7 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions.core import phone10
@@ -31,6 +31,8 @@ LONG_FORMS = {
 ZONE, STOP = 0.0005, 0.01
 #: Numbers of right-hand names up to which a word counts as below these shares, however few names there are.
 ZONE_LEAST, STOP_LEAST = 50, 1000
+#: Name score that a pair must be able to reach to meet by common words, and the most right-hand records of a key in one task.
+REACH, CHUNK = 0.35, 256
 FIELDS = ("name", "phone", "address", "place")
 #: Levels of agreement of each field; level 0 is no agreement, the last level is missing.
 LEVELS = {"name": 8, "phone": 3, "address": 6, "place": 5}
@@ -75,10 +77,7 @@ def _keys(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
     )
     words = side.select("id", "zip", "city", "state", F.explode("names").alias("n")).select("*", F.explode("n").alias("t")).drop("n").distinct()
     words = words.join(df, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    n = F.length("t")
-    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(F.col("t"), F.lit(1), i - 1), F.substring(F.col("t"), i + 1, n)))
-    forms = F.when(n >= 5, F.array_distinct(F.concat(F.array("t"), cut))).otherwise(F.array("t"))
-    rare = words.filter(F.col("df") <= max(ZONE * total, ZONE_LEAST)).withColumn("f", F.explode(forms)).select("id", F.explode(F.array(key("st", F.col("state"), F.col("f")), key("zt", F.col("zip"), F.col("f")))).alias("key"))
+    rare = words.filter(F.col("df") <= max(ZONE * total, ZONE_LEAST)).withColumn("f", F.explode(_forms(F.col("t")))).select("id", F.explode(F.array(key("st", F.col("state"), F.col("f")), key("zt", F.col("zip"), F.col("f")))).alias("key"))
     zone = words.filter(F.col("df") <= max(STOP * total, STOP_LEAST)).select("id", F.explode(F.array(key("zw", F.col("zip"), F.col("t")), key("cw", F.col("city"), F.col("t")))).alias("key"))
     # Names of common words only: all of them together.
     whole = side.select("id", "zip", "city", F.explode("names").alias("n")).withColumn("n", F.array_join(F.array_sort("n"), " "))
@@ -98,7 +97,66 @@ def candidates(a: DataFrame, b: DataFrame, df: DataFrame | None = None, total: i
     """(id_a, id_b): pairs of prepared records that have a blocking key in common. df, total: word frequencies and size of b."""
     df, total = frequencies(b) if df is None else df, max(1, b.count()) if total is None else total
     ka, kb = _keys(a, df, total).toDF("id_a", "key"), _keys(b, df, total).toDF("id_b", "key")
-    return ka.join(kb, "key").select("id_a", "id_b").distinct()
+    met = ka.join(kb, "key").select("id_a", "id_b")
+    return met.unionByName(_by_common_words(a, b, df, total)).distinct()
+
+
+def _forms(t: Column) -> Column:
+    """A word and, from five letters on, the word with any one letter left out."""
+    n = F.length(t)
+    cut = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, n)))
+    return F.when(n >= 5, F.array_distinct(F.concat(F.array(t), cut))).otherwise(F.array(t))
+
+
+def _respelt(word: str) -> str:
+    return word if (plain := respell(word)) is None else plain
+
+
+def _placed_words(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
+    """(id, v, zip, city, state, t, w, before, all, rest): the words of every name, rarest first.
+
+    before, rest: weight of the words before and after it, all: of all words. Misspelt common words stand for what they misspell.
+    """
+    flat = side.select("id", "zip", "city", "state", F.posexplode("names").alias("v", "n")).select("id", "zip", "city", "state", "v", F.explode("n").alias("t"))
+    telling = max(STOP * total, 3)
+    odd = flat.select("t").distinct().join(df, "t", "left").filter((F.coalesce("df", F.lit(0)) <= telling) & (F.length("t") > 4))
+    odd = odd.select("t", F.udf(_respelt, "string")("t").alias("plain")).filter("plain <> t")
+    flat = flat.join(odd, "t", "left").withColumn("t", F.coalesce("plain", "t")).drop("plain").filter("t <> ''").distinct().join(df, "t", "left")
+    w = F.least(F.log(1 + F.lit(total) / (1 + F.coalesce("df", F.lit(0)))), F.log(F.lit(1 + 1 / ZONE)))
+    name = Window.partitionBy("id", "v")
+    order = name.orderBy(F.desc("w"), "t").rowsBetween(Window.unboundedPreceding, -1)
+    out = flat.withColumn("w", w).withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0))).withColumn("all", F.sum("w").over(name))
+    return out.withColumn("rest", F.col("all") - F.col("before") - F.col("w")).drop("df")
+
+
+def _by_common_words(a: DataFrame, b: DataFrame, df: DataFrame, total: int) -> DataFrame:
+    """(id_a, id_b) of records of one ZIP, city or state that share a word up to one typing error and may reach the least name score.
+
+    If two names reach the score, the words they share hold at least REACH / (2 - REACH) of the weight of each, so the
+    rarest shared word is among the first words of both; pairs whose first words and rests cannot add up are dropped.
+    Words alike up to a typing error are found in the vocabularies, and such a pair meets whatever its weight. Keys of
+    many right-hand records are split.
+    """
+    scratch = Scratch(a.sparkSession)
+    wa, wb = scratch.cut(_placed_words(a, df, total)), scratch.cut(_placed_words(b, df, total))
+    voc = lambda x, s: x.select("t").distinct().filter(F.length("t") >= 5).withColumn("f", F.explode(_forms(F.col("t")))).withColumnRenamed("t", s)
+    alike = scratch.cut(voc(wa, "t").join(voc(wb, "x"), "f").filter("t <> x").select("t", "x").distinct())
+
+    def keyed(words: DataFrame, s: str) -> DataFrame:
+        places = F.explode(F.array(*[F.when(_all((F.col(p), F.col("t"))), F.xxhash64(F.lit(p), p, "kind", "t")) for p in ("zip", "city", "state")])).alias("key")
+        return words.select(F.col("id").alias(f"id_{s}"), F.col("v").alias(f"v_{s}"), "w", F.col("all").alias(f"all_{s}"), F.col("rest").alias(f"rest_{s}"), "kind", places).filter("key is not null")
+
+    first = lambda x: x.filter(F.col("before") <= (1 - REACH / (2 - REACH)) * F.col("all") + 1e-9).withColumn("kind", F.lit("same"))
+    other_a = wa.join(alike, "t").withColumn("t", F.col("x")).drop("x").withColumn("kind", F.lit("alike"))
+    other_b = wb.join(alike.select(F.col("x").alias("t")).distinct(), "t", "left_semi").withColumn("kind", F.lit("alike"))
+    ka, kb = keyed(first(wa).unionByName(other_a), "a"), scratch.cut(keyed(first(wb).unionByName(other_b), "b").drop("w", "kind"))
+    hot = kb.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")).filter("parts > 1")
+    ka = ka.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+    kb = kb.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("id_b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+    # The rest after the word bounds what later words add; words before it are not shared, or the pair meets by them.
+    most = F.col("w") + F.least("rest_a", "rest_b")
+    reaches = (F.col("kind") == "alike") | (2 * most >= REACH * (F.col("all_a") + F.col("all_b")) - 1e-9)
+    return ka.join(kb, ["key", "salt"]).filter(reaches).select("id_a", "id_b")
 
 
 def _all(parts: tuple[Column, ...]) -> Column:

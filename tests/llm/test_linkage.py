@@ -49,6 +49,13 @@ def test_misspelt_names_meet_in_small_tables(spark, firms):
     assert met(spark, right, left) == {0, 1, 2}
 
 
+def test_common_words_meet_in_their_place(spark):
+    brands = "Brightwater Dental", "Quivard Dental", "Fintoll Dental"
+    right = [(brands[0], "60001", "Elmton", "GA")] + [(brands[i % 3], f"7{i:04}", "Faraway", "TX") for i in range(6000)]
+    left = [("Brightwatr Dental", None, "Elmton", None), ("Brightwater Dental Group", "60001", None, None), ("Brightwatr Dental", None, None, "GA"), ("Brightwater Dental", None, None, "GA")]
+    assert met(spark, right, left + [("Quivard Dental", None, "Nowhere", None)]) == {0, 1, 2, 3}
+
+
 def test_empty(spark):
     left, right, _ = tables(spark)
     cols = ({"id": "id", "names": ["title"]} | COLS, {"id": "npi", "names": ["name", "dba"]} | COLS)
