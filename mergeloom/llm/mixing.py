@@ -112,9 +112,13 @@ def mix(
     for (_, s), n in have.items():
         of_source[s] += n
     leaves = [((domains.get(s, "other"), lang_, s), want[s][0] * n / of_source[s], float(n * want[s][1])) for (lang_, s), n in sorted(have.items())]
+    # A source without records has room 0 and no language: its target goes to the rest of its domain first.
+    leaves += [((domains.get(s, "other"), "", s), want[s][0], 0.0) for s in sorted(want) if s not in of_source]
     plan = budgets(leaves, float(total if total is not None else sum(have.values())))
     rows = []
     for (_, lang_, s), b in plan.items():
+        if (lang_, s) not in have:
+            continue
         n = have[lang_, s]
         whole = min(int((b + 1e-6) // n), want[s][1])
         rows.append((f"{lang_}\u0001{s}", s, whole, int(b + 1e-6) - whole * n if whole < want[s][1] else 0))

@@ -53,6 +53,12 @@ def test_same_seed_same_mixture_and_empty(spark):
     assert rows(mixture) == [] and all(r.mixed_tokens == 0 for r in shares.collect())
 
 
+def test_absent_source_gives_way_to_its_domain(spark):
+    targets = spark.createDataFrame([("a", 0.3, 2), ("gone", 0.3, 2), ("b", 0.4, 2)], "source string, target_share double, max_repeats int")
+    table = {r.source: r.mixed_tokens for r in mix(docs(spark), "id", "text", "lang", "src", targets, {"a": "x", "gone": "x", "b": "y"}, total=1000)[1].collect()}
+    assert table["gone"] == 0 and 500 < table["a"] <= 600 and 300 < table["b"] <= 400
+
+
 @pytest.mark.parametrize("text", ["Hello, world's end! 123", "¿Qué tal?  años\n\n", "  spaces   and\ttabs "])
 def test_tokenizer_round_trip(text):
     e = encoder(TOKENIZER)
