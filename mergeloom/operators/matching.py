@@ -27,20 +27,34 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], left_text:
     return best.select(F.col("__lid").alias(left_id), F.col("b.__rid").alias(right_id), F.col("b.score").alias("score"))
 
 
+#: Patterns that a plan holds as literals, and about as many in a block of a larger dictionary.
+MOST_LITERALS = 5000
+
+
 def longest_pattern(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, key: str) -> DataFrame:
     """For each text the longest pattern it contains (lower case), ties to the first in order; null if none.
 
-    The dictionary is compiled into the plan as literals, longest first, so that one pass over the texts decides.
-    patterns: a curated dictionary of at most a few thousand rows; more are refused.
+    A dictionary of up to 5,000 rows is compiled into the plan as literals, longest first, so that one pass over the texts
+    decides. A larger one is split into blocks; every distinct text meets each block and keeps the longest hit of all.
     """
-    known = [r[0] for r in patterns.select(F.lower(F.trim(F.col(pattern)))).filter(F.length(F.trim(F.col(pattern))) > 0).distinct().limit(5001).collect()]
-    if len(known) > 5000:
-        raise ValueError("more than 5000 patterns: join on word keys instead")
+    words = patterns.select(F.lower(F.trim(F.col(pattern))).alias("p")).filter(F.length("p") > 0).distinct()
+    known = [r[0] for r in words.limit(MOST_LITERALS + 1).collect()]
+    if len(known) > MOST_LITERALS:
+        return _longest_of_blocks(texts.select(F.col(key), F.lower(F.col(text)).alias("__low")), words, key)
     ordered = F.array(*[F.lit(p) for p in sorted(known, key=lambda p: (-len(p), p))] or [F.lit(None).cast("string")])
     low = F.lower(F.col(text))
     return texts.select(key, F.try_element_at(F.filter(ordered, lambda p: F.contains(low, p)), F.lit(1)).alias("pattern"))
 
 
+def _longest_of_blocks(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    block = F.pmod(F.xxhash64("p"), F.lit(words.count() // MOST_LITERALS + 1))
+    blocks = words.groupBy(block.alias("block")).agg(F.collect_list("p").alias("ps")).select("ps")
+    met = texts.select("__low").filter("__low is not null").distinct().crossJoin(blocks)
+    hits = met.select("__low", F.explode(F.filter("ps", lambda p: F.contains(F.col("__low"), p))).alias("p"))
+    best = hits.groupBy("__low").agg(F.min(F.struct((-F.length("p")).alias("n"), "p")).alias("b"))
+    return texts.join(best, "__low", "left").select(key, F.col("b.p").alias("pattern"))
+
+
 def band_pairs(df: DataFrame, block: list[str], date: str, days: int, key: str) -> DataFrame:
     """(key_a, key_b), a < b, of rows of one block whose dates are at most `days` apart.
 

@@ -71,6 +71,12 @@ def test_fuzzy_match_ties_and_blocks(spark):
     assert rows(fuzzy_match(left, right.filter("rid <> 'q'"), ["b"], "t", "t", "id", "rid", 100 * 18 / 19, strict=True)) == []
 
 
+def test_longest_of_a_large_dictionary(spark):
+    texts = spark.createDataFrame([(1, "Big Smile Dental"), (1, "none"), (2, None), (3, "W6001x and Smile"), (4, "ab cd")], "k int, t string")
+    pats = spark.createDataFrame([("smile",), ("Smile Dental",), (" ",), (None,), ("cd",), ("ab",)] + [(f"w{i}x",) for i in range(12000)], "p string")
+    assert rows(longest_pattern(texts, "t", pats, "p", "k").fillna("-")) == [(1, "-"), (1, "smile dental"), (2, "-"), (3, "w6001x"), (4, "ab")]
+
+
 def test_patterns_bands_latest(spark):
     texts = spark.createDataFrame([(1, "Big Smile Dental"), (2, "none"), (3, None)], "k int, t string")
     pats = spark.createDataFrame([("smile",), ("Smile Dental",), (" ",), (None,)], "p string")
