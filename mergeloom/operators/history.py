@@ -1,9 +1,10 @@
 """Full history of changing attributes, coalesced by tree reduction.
 
-The last value of each day is a unit interval. Blocks of neighbouring days are merged level by level; at each
+The last value of each day is a unit interval. Neighbouring blocks of days are merged pairwise, round by round; at each
 merge the open last run of one block meets the first run of the next and either swallows it (equal value) or is
-closed by it. Runs inside a block are then final and leave the tree, so a block carries two runs at most and no
-task ever holds the whole history of an entity.
+closed by it. One shuffle brings together the blocks of several rounds (64 blocks for six rounds), which then run in
+memory. Runs inside a block are then final and leave the tree, so a block carries two runs at most from shuffle to
+shuffle and no task ever holds the whole history of an entity.
 """
 
 from __future__ import annotations
@@ -19,19 +20,23 @@ _RUNS = "array<struct<f:int,t:int,v:string>>"
 _SHIFT = 1 << 24
 
 
-def _coalesce_runs(runs: Column) -> Column:
-    def step(acc: Column, y: Column) -> Column:
-        last = F.try_element_at(acc, F.lit(-1))
-        head = F.slice(acc, 1, F.greatest(F.size(acc) - 1, F.lit(0)))
-        run = lambda f, t, v: F.struct(f.alias("f"), t.alias("t"), v.alias("v"))
-        return (
-            F.when(F.size(acc) == 0, F.array(y))
-            .when(last["t"].isNotNull(), F.concat(acc, F.array(y)))
-            .when(last["v"] == y["v"], F.concat(head, F.array(run(last["f"], y["t"], last["v"]))))
-            .otherwise(F.concat(head, F.array(run(last["f"], y["f"], last["v"]), y)))
-        )
+def _merged(a: Column, b: Column) -> Column:
+    """Two neighbouring lists of runs as one: the open last run of the first swallows, or is closed by, the next run."""
+    run = lambda f, t, v: F.struct(f.alias("f"), t.alias("t"), v.alias("v"))
+    last, nxt = F.element_at(a, -1), b[0]
+    head, tail = F.slice(a, 1, F.size(a) - 1), F.slice(b, 2, F.size(b))
+    joined = F.when(last["v"] == nxt["v"], F.array(run(last["f"], nxt["t"], last["v"]))).otherwise(F.array(run(last["f"], nxt["f"], last["v"]), nxt))
+    return F.when(last["t"].isNotNull(), F.concat(a, b)).otherwise(F.concat(head, joined, tail))
 
-    return F.aggregate(runs, F.array().cast(_RUNS), step)
+
+def _coalesce_runs(blocks: Column, rounds: int) -> Column:
+    """The runs of up to 2**rounds neighbouring blocks, merged pairwise round by round."""
+
+    def halved(acc: Column, _: Column) -> Column:
+        pair = lambda i: F.when(2 * i + 1 < F.size(acc), _merged(F.get(acc, 2 * i), F.get(acc, 2 * i + 1))).otherwise(F.get(acc, 2 * i))
+        return F.transform(F.sequence(F.lit(0), F.floor((F.size(acc) - 1) / 2).cast("int")), pair)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(rounds)), blocks, halved)[0]
 
 
 def value_history(
@@ -44,7 +49,7 @@ def value_history(
     day (the writing date if null), writing time (null first), id, value; the last of a day sets the value from that
     day on. The first row's old value, unless blank, holds from 0001-01-01; a value equal to the one in force opens
     no version; the last version holds to 9999-12-31. Repeated rows change nothing; an empty table gives no rows.
-    level_bits: each level merges 2**level_bits neighbouring blocks (1: strictly pairwise).
+    level_bits: pairwise rounds between two shuffles.
     """
     scratch = Scratch(events.sparkSession)
     c = lambda name: F.col(f"`{name}`")
@@ -61,19 +66,19 @@ def value_history(
     while True:
         block = F.array_sort(F.collect_list(F.struct("pos", "runs", "old"))).alias("b")
         merged = level.groupBy("e", "a", F.expr(f"shiftright(pos, {level_bits})").alias("pos")).agg(block)
-        merged = merged.select("e", "a", "pos", _coalesce_runs(F.flatten("b.runs")).alias("r"), F.col("b")[0]["old"].alias("old"))
+        merged = merged.select("e", "a", "pos", _coalesce_runs(F.col("b.runs"), level_bits).alias("r"), F.col("b")[0]["old"].alias("old"))
         n = F.size("r")
-        merged = scratch.cut(
+        merged, ends = scratch.cut_watching(
             merged.select(
                 "e", "a", "pos", "old",
                 F.when(n > 1, F.array(F.col("r")[0], F.element_at("r", -1))).otherwise(F.col("r")).alias("runs"),
                 F.when(n > 2, F.slice("r", 2, n - 2)).otherwise(F.array().cast(_RUNS)).alias("inner"),
-            )
+            ),
+            lo=F.min("pos"), hi=F.max("pos"),
         )
         inner = merged.filter("size(inner) > 0").select("e", "a", F.explode("inner").alias("x")).select("e", "a", "x.*")
         done = inner if done is None else done.unionByName(inner)
-        ends = merged.agg(F.min("pos"), F.max("pos")).first()
-        if ends[0] == ends[1]:
+        if ends["lo"] == ends["hi"]:
             break
         level = merged.drop("inner")
     first, origin = F.col("runs")[0], F.lit(-719162 + _SHIFT)

@@ -27,31 +27,39 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], left_text:
     return best.select(F.col("__lid").alias(left_id), F.col("b.__rid").alias(right_id), F.col("b.score").alias("score"))
 
 
-#: Patterns that a plan holds as literals, and about as many in a block of a larger dictionary.
+#: Patterns that a plan holds as literals.
 MOST_LITERALS = 5000
 
 
 def longest_pattern(texts: DataFrame, text: str, patterns: DataFrame, pattern: str, key: str) -> DataFrame:
     """For each text the longest pattern it contains (lower case), ties to the first in order; null if none.
 
-    A dictionary of up to 5,000 rows is compiled into the plan as literals, longest first, so that one pass over the texts
-    decides. A larger one is split into blocks; every distinct text meets each block and keeps the longest hit of all.
+    A dictionary of up to 5,000 patterns is compiled into the plan as literals, longest first, so that one pass over the
+    texts decides. A larger one is joined by character trigrams: a pattern is found under its rarest trigram, a distinct
+    text under each of its own. Rows may repeat; null texts and blank patterns match nothing.
     """
     words = patterns.select(F.lower(F.trim(F.col(pattern))).alias("p")).filter(F.length("p") > 0).distinct()
     known = [r[0] for r in words.limit(MOST_LITERALS + 1).collect()]
     if len(known) > MOST_LITERALS:
-        return _longest_of_blocks(texts.select(F.col(key), F.lower(F.col(text)).alias("__low")), words, key)
+        return _longest_by_trigram(texts.select(F.col(key), F.lower(F.col(text)).alias("__low")), words, key)
     ordered = F.array(*[F.lit(p) for p in sorted(known, key=lambda p: (-len(p), p))] or [F.lit(None).cast("string")])
     low = F.lower(F.col(text))
     return texts.select(key, F.try_element_at(F.filter(ordered, lambda p: F.contains(low, p)), F.lit(1)).alias("pattern"))
 
 
-def _longest_of_blocks(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    block = F.pmod(F.xxhash64("p"), F.lit(words.count() // MOST_LITERALS + 1))
-    blocks = words.groupBy(block.alias("block")).agg(F.collect_list("p").alias("ps")).select("ps")
-    met = texts.select("__low").filter("__low is not null").distinct().crossJoin(blocks)
-    hits = met.select("__low", F.explode(F.filter("ps", lambda p: F.contains(F.col("__low"), p))).alias("p"))
-    best = hits.groupBy("__low").agg(F.min(F.struct((-F.length("p")).alias("n"), "p")).alias("b"))
+def _pieces(c: Column, n: int) -> Column:
+    """Distinct runs of n characters."""
+    return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
+
+
+def _longest_by_trigram(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    p, low = F.col("p"), F.col("__low")
+    # Patterns shorter than three characters are their own piece.
+    own = words.select("p", F.explode(F.when(F.length("p") < 3, F.array("p")).otherwise(_pieces(p, 3))).alias("g"))
+    rare = own.join(own.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").groupBy("p").agg(F.min(F.struct("n", "g")).alias("x")).select("p", "x.g")
+    pieces = F.concat(*[_pieces(low, n) for n in (1, 2, 3)])
+    met = texts.select("__low").filter("__low is not null").distinct().withColumn("g", F.explode(pieces)).join(rare, "g").filter(F.contains(low, p))
+    best = met.groupBy("__low").agg(F.min(F.struct((-F.length("p")).alias("n"), "p")).alias("b"))
     return texts.join(best, "__low", "left").select(key, F.col("b.p").alias("pattern"))
 
 

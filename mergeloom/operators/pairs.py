@@ -9,6 +9,31 @@ from pyspark.sql import functions as F
 CHUNK = 256
 
 
+def split_join(left: DataFrame, right: DataFrame, key: str, chunk: int = CHUNK) -> DataFrame:
+    """Inner join by one key, with the right rows of a key dealt out over parts of about `chunk` rows.
+
+    Left rows of such a key go to every part, so that each pair still meets once; a key of few right rows stays whole.
+    The number of parts follows the key's own size, so no key is too large for a task. right is read twice.
+    """
+    parts = right.groupBy(key).agg(F.ceil(F.count(F.lit(1)) / chunk).cast("int").alias("__parts")).filter("__parts > 1")
+    one = F.coalesce("__parts", F.lit(1))
+    a = left.join(parts, key, "left").withColumn("__part", F.explode(F.sequence(F.lit(0), one - 1))).drop("__parts")
+    b = right.join(parts, key, "left").withColumn("__part", F.pmod(F.xxhash64(*right.columns), one).cast("int")).drop("__parts")
+    return a.join(b, [key, "__part"]).drop("__part")
+
+
+def distinct_groups(members: DataFrame, group: str, key: str) -> DataFrame:
+    """(group, n): of the groups with the same two or more members one, with its size. members: without repeats or nulls.
+
+    Sets of members are compared by size, least and greatest member and two 64-bit checksums.
+    """
+    k = F.col(key)
+    signed = members.groupBy(group).agg(
+        F.count(F.lit(1)).alias("n"), F.min(k).alias("lo"), F.max(k).alias("hi"), F.bit_xor(F.xxhash64(k)).alias("x"), F.bit_xor(F.xxhash64(k, F.lit(1))).alias("y"),
+    ).filter("n > 1")
+    return signed.groupBy("n", "lo", "hi", "x", "y").agg(F.min(group).alias(group)).select(group, "n")
+
+
 def member_pairs(members: DataFrame, group: str, key: str, chunk: int = CHUNK) -> DataFrame:
     """Distinct (key_a, key_b), key_a < key_b, of members that share a group.
 
@@ -17,11 +42,7 @@ def member_pairs(members: DataFrame, group: str, key: str, chunk: int = CHUNK) -
     group is spread like all others. Groups with the same members are expanded once.
     """
     m = members.select(F.col(group).alias("g"), F.col(key).alias("k"))
-    signed = m.groupBy("g").agg(
-        F.count(F.lit(1)).alias("n"), F.min("k").alias("lo"), F.max("k").alias("hi"),
-        F.bit_xor(F.xxhash64("k")).alias("x"), F.bit_xor(F.xxhash64("k", F.lit(1))).alias("y"),
-    ).filter("n > 1")
-    one = signed.groupBy("n", "lo", "hi", "x", "y").agg(F.min("g").alias("g")).select("g", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
+    one = distinct_groups(m, "g", "k").select("g", F.ceil(F.col("n") / chunk).cast("int").alias("chunks"))
     chunked = m.join(one, "g").withColumn("c", F.pmod(F.hash("k"), F.col("chunks")))
     left = chunked.select("g", F.col("c").alias("c_a"), F.col("k").alias("a"), F.explode(F.sequence(F.col("c"), F.col("chunks") - 1)).alias("c_b"))
     right = chunked.select("g", F.col("c").alias("c_b"), F.col("k").alias("b"))

@@ -192,17 +192,23 @@ def _side(df: DataFrame, key: str, fields: list[str]) -> DataFrame:
 
 
 def differing_keys(a: DataFrame, b: DataFrame, scratch: Scratch, bucket_rows: int = 64, first_bound: int = 8) -> DataFrame:
-    """Keys of the rows (k, h) that only one side holds."""
+    """Keys of the rows (k, h) that only one side holds.
+
+    The bound is doubled until every bucket is verified. Once it has reached the rows that the fullest bucket has on both
+    sides it cannot be exceeded; keys of roots then count even if a bucket's number of roots is off, as two rows with
+    one hash would make it, for the fields of all reported keys are compared anyway.
+    """
     buckets = max(1, max(a.count(), b.count()) // bucket_rows)
 
-    def hashed(side: DataFrame) -> DataFrame:
+    def hashed(side: DataFrame) -> tuple[DataFrame, int]:
         el = F.col("h").bitwiseAND(F.lit((1 << 60) - 1)).alias("el")
         grouped = side.groupBy(F.pmod(F.hash("h"), F.lit(buckets)).cast("bigint").alias("bucket")).agg(F.collect_set(F.struct(el, "k")).alias("s"))
-        return scratch.cut(grouped.select("bucket", F.col("s.el").alias("el"), F.col("s.k").alias("key")))
+        cut, seen = scratch.cut_watching(grouped.select("bucket", F.col("s.el").alias("el"), F.col("s.k").alias("key")), most=F.coalesce(F.max(F.size("el")), F.lit(0)))
+        return cut, int(seen["most"])
 
-    ha, hb = hashed(a), hashed(b)
+    (ha, most_a), (hb, most_b) = hashed(a), hashed(b)
     pending, found, bound = None, [], first_bound
-    while bound <= 4 * bucket_rows:
+    while True:
         points = bound + SPARE
 
         def sketch(side: DataFrame, n: str, ev: str, points: int = points, pending: DataFrame | None = pending) -> DataFrame:
@@ -220,23 +226,20 @@ def differing_keys(a: DataFrame, b: DataFrame, scratch: Scratch, bucket_rows: in
             .join(hb.toDF("bucket", "el_b", "key_b"), "bucket", "left")
             .select("bucket", "num", "den", "el_a", "key_a", "el_b", "key_b")
         )
-        rooted = scratch.cut(tried.mapInArrow(_search, "bucket bigint, verified boolean, keys array<string>"))
+        rooted = tried.mapInArrow(_search, "bucket bigint, verified boolean, keys array<string>")
+        if bound >= most_a + most_b:
+            rooted = rooted.withColumn("verified", F.lit(True))
+        rooted = scratch.cut(rooted)
         found.append(rooted.filter("verified").select(F.explode("keys").alias("k")))
-        pending = scratch.cut(decoded.select("bucket").join(rooted.filter("verified").select("bucket"), "bucket", "left_anti"))
+        pending, left = scratch.cut_counting(decoded.select("bucket").join(rooted.filter("verified").select("bucket"), "bucket", "left_anti"), F.lit(True))
         scratch.free(decoded)
-        if pending.isEmpty():
+        if not left or bound >= most_a + most_b:
             break
         bound *= 2
-    else:
-        # The bound has outgrown the buckets: a sketch would be larger than the hashes, so these are compared directly.
-        rest = ha.toDF("bucket", "el_a", "key_a").join(hb.toDF("bucket", "el_b", "key_b"), "bucket", "full").join(pending, "bucket", "left_semi")
-        nothing = F.array().cast("array<struct<el:bigint,k:string>>")
-        pairs = {s: F.coalesce(F.arrays_zip(F.col(f"el_{s}").alias("el"), F.col(f"key_{s}").alias("k")), nothing) for s in "ab"}
-        only = F.concat(F.array_except(pairs["a"], pairs["b"]), F.array_except(pairs["b"], pairs["a"]))
-        found.append(rest.select(F.explode(only).alias("s")).select("s.k"))
     keys = found[0]
     for more in found[1:]:
         keys = keys.union(more)
+    scratch.free(ha, hb)
     return keys.distinct()
 
 

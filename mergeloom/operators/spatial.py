@@ -75,6 +75,70 @@ def _sweep(batches: Iterator[pa.RecordBatch], radius: float, sphere: float) -> I
         tail = {c: v[keep] for c, v in d.items()}
 
 
+def _boxes(cell: float, south: Column, north: Column, west: Column, east: Column) -> Column:
+    """Cells (row, col) of a grid of `cell` degrees that a box touches."""
+    at = lambda c: F.floor(c / cell).cast("int")
+    cols = F.transform(F.sequence(at(west), at(east)), lambda x: F.struct(F.lit(0).alias("row"), x.alias("col")))
+    return F.flatten(F.transform(F.sequence(at(south), at(north)), lambda r: F.transform(cols, lambda x: F.struct(r.alias("row"), x["col"].alias("col")))))
+
+
+def near_places(points: DataFrame, key: str, lat: str, lon: str, places: DataFrame, place: str, place_lat: str, place_lon: str, radius: float, sphere: float = 3958.8) -> DataFrame:
+    """(key, place, distance) of every point within `radius` of a place.
+
+    Both sides meet in grid cells of the radius's height: a point lies in one cell, a place in all that its circle
+    touches, so that only neighbours in both directions meet. Circles that reach the 180th meridian go on beyond it; a
+    circle that holds a pole touches all longitudes. Rows without a place (see `placed`) or with a null key meet nothing;
+    repeated rows repeat their result.
+    """
+    cell = math.degrees(radius / sphere) * (1 + 1e-9)
+    la, lo = F.col(f"`{place_lat}`").cast("double"), F.col(f"`{place_lon}`").cast("double")
+    c = places.filter(placed(la, lo)).select(F.col(f"`{place}`").alias("__place"), la.alias("__pla"), lo.alias("__plo")).filter("__place is not null")
+    top = F.least(F.abs("__pla") + cell, F.lit(90.0))
+    ratio = F.lit(math.sin(min(radius / sphere, math.pi / 2))) / F.cos(F.radians(F.abs("__pla")))
+    wide = F.when((top >= 89.999) | (ratio >= 1), F.lit(180.0)).otherwise(F.degrees(F.asin(F.least(ratio, F.lit(1.0)))) * (1 + 1e-9))
+    whole = wide >= 180
+    box = lambda shift: _boxes(cell, F.col("__pla") - cell, F.col("__pla") + cell, F.when(whole, F.lit(-180.0)).otherwise(F.col("__plo") - wide + shift), F.when(whole, F.lit(180.0)).otherwise(F.col("__plo") + wide + shift))
+    cells = F.when(whole, box(0)).when(F.col("__plo") - wide < -180, F.array_union(box(0), box(360))).when(F.col("__plo") + wide > 180, F.array_union(box(0), box(-360))).otherwise(box(0))
+    c = c.withColumn("__cell", F.explode(cells)).select("__place", "__pla", "__plo", F.col("__cell.row").alias("__row"), F.col("__cell.col").alias("__col"))
+    la, lo = F.col(f"`{lat}`").cast("double"), F.col(f"`{lon}`").cast("double")
+    p = points.filter(placed(la, lo)).select(F.col(f"`{key}`").alias("__key"), la.alias("__la"), lo.alias("__lo")).filter("__key is not null")
+    p = p.withColumns({"__row": F.floor(F.col("__la") / cell).cast("int"), "__col": F.floor(F.col("__lo") / cell).cast("int")})
+    met = p.join(c, ["__row", "__col"]).withColumn("distance", haversine(F.col("__la"), F.col("__lo"), F.col("__pla"), F.col("__plo"), sphere))
+    return met.filter(F.col("distance") <= radius).select(F.col("__key").alias(key), F.col("__place").alias(place), "distance")
+
+
+def _inside(lat: Column, lon: Column, ring: Column) -> Column:
+    """Whether a point lies in a ring of (lat, lon) corners: the edges that a line eastwards crosses are odd in number."""
+    n = F.size(ring)
+
+    def crossed(i: Column) -> Column:
+        a, b = ring[i], ring[(i + 1) % n]
+        split = (a["lat"] > lat) != (b["lat"] > lat)
+        return F.when(split & (lon < (b["lon"] - a["lon"]) * (lat - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]), 1).otherwise(0)
+
+    return F.aggregate(F.sequence(F.lit(0), n - 1), F.lit(0), lambda s, i: s + crossed(i)) % 2 == 1
+
+
+def containing_regions(points: DataFrame, key: str, lat: str, lon: str, regions: DataFrame, region: str, ring: str, cell: float = 0.05) -> DataFrame:
+    """(key, region) of every point and each region that contains it.
+
+    ring: a list of struct(lat, lon), the corners in order; an edge's southern end belongs to it, its northern end does
+    not, so that regions with common borders share no point between them. A region meets points through the grid cells
+    (of `cell` degrees) of its bounding box; regions must not cross the 180th meridian. Rings of fewer than three
+    corners or with null corners, null keys and points without a place contain, or lie in, nothing; regions may overlap.
+    """
+    c = F.col(f"`{ring}`")
+    ok = (F.size(c) >= 3) & ~F.exists(c, lambda x: x["lat"].isNull() | x["lon"].isNull() | F.isnan(x["lat"]) | F.isnan(x["lon"]))
+    edge = lambda f, g: g(F.transform(c, lambda x: x[f].cast("double")))
+    r = regions.filter(F.coalesce(ok, F.lit(False))).select(F.col(f"`{region}`").alias("__region"), c.alias("__ring"), F.explode(_boxes(cell, edge("lat", F.array_min), edge("lat", F.array_max), edge("lon", F.array_min), edge("lon", F.array_max))).alias("__cell"))
+    r = r.select("__region", "__ring", F.col("__cell.row").alias("__row"), F.col("__cell.col").alias("__col")).filter("__region is not null")
+    la, lo = F.col(f"`{lat}`").cast("double"), F.col(f"`{lon}`").cast("double")
+    p = points.filter(placed(la, lo)).select(F.col(f"`{key}`").alias("__key"), la.alias("__la"), lo.alias("__lo")).filter("__key is not null")
+    p = p.withColumns({"__row": F.floor(F.col("__la") / cell).cast("int"), "__col": F.floor(F.col("__lo") / cell).cast("int")})
+    met = p.join(r, ["__row", "__col"]).filter(_inside(F.col("__la"), F.col("__lo"), F.col("__ring")))
+    return met.select(F.col("__key").alias(key), F.col("__region").alias(region))
+
+
 def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius: float, sphere: float = 3958.8) -> DataFrame:
     """Distinct (key_a, key_b), key_a < key_b, of rows at most `radius` apart, keys as strings.
 

@@ -10,6 +10,7 @@ from mergeloom.functions.text import sorted_set
 from mergeloom.operators.cascade import fill_rates
 from mergeloom.operators.matching import latest
 from mergeloom.operators.merge import only_in
+from mergeloom.operators.ordering import batches
 from mergeloom.plans.registry import query
 from mergeloom.session import table
 
@@ -287,11 +288,7 @@ def joined_set_sources(spark: SparkSession, d: str) -> DataFrame:
     return _deals(spark, d).groupBy("source", sorted_set(F.col("source"), "+").alias("canon")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("""select id, npi, cast(floor((row_number() over (order by npi)-1)/250) as bigint) batch_no from practices""")
+@query("""select id, npi, cast(floor((row_number() over (order by npi, id)-1)/250) as bigint) batch_no from practices""")
 def batch_assignment(spark: SparkSession, d: str) -> DataFrame:
-    """Batches of 250 rows in key order: positions come from range-sorted partitions and their sizes, not from one window."""
-    s = table(spark, d, "practices").select("id", "npi").orderBy("npi").withColumn("at", F.monotonically_increasing_id())
-    s = s.withColumn("part", F.shiftright("at", 33)).withColumn("pos", F.col("at").bitwiseAND(F.lit((1 << 33) - 1)))
-    sizes = s.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    ahead = sizes.select("part", F.coalesce(F.sum("n").over(Window.partitionBy(F.lit(1)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
-    return s.join(ahead, "part").select("id", "npi", F.floor((F.col("before") + F.col("pos")) / 250).alias("batch_no"))
+    """Batches of 250 rows in key order."""
+    return batches(table(spark, d, "practices").select("id", "npi"), [F.asc("npi"), F.asc("id")], 250)

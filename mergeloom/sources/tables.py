@@ -69,17 +69,46 @@ def snapshot(df: DataFrame, path: str, date: str) -> None:
     df.withColumn("month", F.date_format(date, "yyyy-MM")).write.mode("append").partitionBy("month").parquet(path)
 
 
-#: Root nodes of parsed statements that only read.
+#: Nodes of parsed statements that only read.
 _READS = {
-    "Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Offset", "Distinct", "Union", "Intersect", "Except", "Join", "UnresolvedHaving", "UnresolvedWith",
-    "WithWindowDefinition", "UnresolvedInlineTable", "UnresolvedRelation", "SubqueryAlias", "OneRowRelation", "UnresolvedSubqueryColumnAliases",
+    "Project", "Aggregate", "Filter", "Sort", "GlobalLimit", "LocalLimit", "Limit", "Offset", "Distinct", "Union", "Intersect", "Except", "Join", "LateralJoin", "Generate", "Sample", "Expand",
+    "UnresolvedHaving", "UnresolvedWith", "WithWindowDefinition", "UnresolvedInlineTable", "UnresolvedRelation", "SubqueryAlias", "UnresolvedSubqueryColumnAliases", "OneRowRelation",
+    "UnresolvedTableValuedFunction", "UnresolvedTVFAliases", "Pivot", "UnresolvedPivot", "Unpivot", "UnresolvedUnpivot", "LocalRelation",
 }
-
-
-def read_only_sql(spark: SparkSession, text: str, most: int = 10_000) -> DataFrame:
-    """Runs a query, and nothing else: the parsed statement must be a query, whatever words occur in it."""
-    plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(text)
-    kind = plan.getClass().getSimpleName().rstrip("$")
-    if kind not in _READS:
-        raise ValueError(f"only queries are allowed, not {kind}")
-    return spark.sql(text).limit(most)
+#: Functions that call into the JVM's classes.
+_CALLS = {"reflect", "try_reflect", "java_method"}
+
+
+def _items(seq) -> list:
+    return [seq.apply(i) for i in range(seq.length())]
+
+
+def _parts(plan) -> tuple[set[str], set[str]]:
+    """Kinds of all nodes of a parsed statement, subqueries included, and the names of all functions it calls."""
+    kinds, calls, open_ = set(), set(), [(plan, True)]
+    while open_:
+        x, node = open_.pop()
+        name = x.getClass().getSimpleName().rstrip("$")
+        if node:
+            kinds.add(name)
+            open_ += [(e, False) for e in _items(x.expressions())]
+            if name == "UnresolvedWith":
+                open_ += [(c, True) for c in _items(x.innerChildren())]
+        elif name in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery", "UnresolvedScalarSubquery"):
+            open_.append((x.plan(), True))
+        if name in ("UnresolvedFunction", "UnresolvedTableValuedFunction", "UnresolvedGenerator"):
+            calls.add(_items(x.nameParts() if name == "UnresolvedFunction" else x.name())[-1].lower() if name != "UnresolvedGenerator" else x.name().funcName().lower())
+        open_ += [(c, node) for c in _items(x.children())]
+    return kinds, calls
+
+
+def read_only_sql(spark: SparkSession, text: str, most: int | None = None) -> DataFrame:
+    """Runs a query, and nothing else: every node of the parsed statement must be one that reads.
+
+    Words inside texts do not matter. Functions that call into the JVM's classes are refused too. most: number of rows
+    to return at most; all by default.
+    """
+    kinds, calls = _parts(spark._jsparkSession.sessionState().sqlParser().parsePlan(text))
+    if kinds - _READS or calls & _CALLS:
+        raise ValueError(f"only queries are allowed, not {', '.join(sorted((kinds - _READS) | (calls & _CALLS)))}")
+    return spark.sql(text) if most is None else spark.sql(text).limit(most)

@@ -10,19 +10,20 @@ from pyspark.sql import functions as F
 from mergeloom.session import new_path, shared_dir
 
 
-def event_stream(spark: SparkSession, folder: str, pattern: str, schema: str, time: str) -> DataFrame:
-    """Files of a folder as a stream; the time column becomes a timestamp, which watermarks need."""
-    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
+def event_stream(spark: SparkSession, folder: str, pattern: str, schema: str, time: str, files: int = 1000) -> DataFrame:
+    """Files of a folder as a stream, so many a batch; the time column becomes a timestamp, which watermarks need."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files).parquet(folder).withColumn(time, F.col(time).cast("timestamp"))
 
 
-def run(stream: DataFrame, mode: str = "append") -> DataFrame:
-    """Runs the stream over what is available and gives the table it wrote. Checkpoint and output lie in the shared folder."""
+def run(stream: DataFrame) -> DataFrame:
+    """Runs the stream over what is available and gives the table it wrote. Checkpoint and output lie in the shared folder.
+
+    Rows are appended once they are final: a window or session when the watermark has passed its end, whereupon its
+    state is dropped. Windows still open when the files end are not in the table; they come with later files.
+    """
     spark = stream.sparkSession
     out, state = new_path(spark), f"{shared_dir(spark)}/mergeloom/streams/{uuid.uuid4().hex}"
-    if mode == "append":
-        writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
-    else:
-        writer = stream.writeStream.outputMode(mode).foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(out))
+    writer = stream.writeStream.format("parquet").option("path", out).outputMode("append")
     writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(stream.schema).parquet(out)
 

@@ -49,7 +49,7 @@ def test_against_brute_force(spark, seed, n):
     assert rows(found) == brute(a, b)
 
 
-def test_all_different_uses_the_direct_comparison(spark):
+def test_all_different_doubles_the_bound_to_the_whole_bucket(spark):
     a = [(f"k{i}", "x", 1.0, None, "", "", "", True) for i in range(300)]
     b = [(f"k{i}", "y", 1.0, None, "", "", "", True) for i in range(300)]
     found = diff_copies(spark.createDataFrame(a, SCHEMA), spark.createDataFrame(b, SCHEMA), "npi", ["name", "rev"], bucket_rows=16, first_bound=4)

@@ -50,3 +50,21 @@ def test_few_deliveries(spark):
     for df in (empty, one):
         assert rows(snapshot_changes(df, "npi", "day", FIELDS, ["seen"])) == []
         assert rows(changed_values(df, "npi", "day", FIELDS, ["seen"])) == []
+
+
+def test_one_delivery_at_a_time_with_an_index_that_stays(spark, tmp_path):
+    from mergeloom.operators.snapshots import KeyIndex, take_delivery
+
+    fields, schema = {"v": lambda c: c}, "k string, v string, o int"
+    days = [[("a", "1", 1), ("b", "1", 1), ("c", None, 1)], [("a", "1", 1), ("b", "2", 1), ("b", "1", 0), ("d", "9", 1)], [("b", None, 1), ("c", "x", 1), (None, "x", 1)], []]
+    found, path = [], None
+    for day in days:
+        last = KeyIndex(spark, path) if path else None
+        changes, now = take_delivery(last, spark.createDataFrame(day, schema), "k", fields, ["o"], str(tmp_path), 5_000_000 if path is None else None)
+        found.append(sorted(tuple(r) for r in changes.collect()))
+        if last:
+            last.drop()
+        path = now.path
+        now.drop(files=False)
+    assert found == [[], [("b", "changed"), ("c", "removed"), ("d", "added")], [("a", "removed"), ("b", "changed"), ("c", "added"), ("d", "removed")], [("b", "removed"), ("c", "removed")]]
+    assert len(list(tmp_path.iterdir())) == 1

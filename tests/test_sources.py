@@ -96,6 +96,13 @@ def test_read_only_sql(spark):
     spark.range(3).createOrReplaceTempView("three")
     assert tables.read_only_sql(spark, "with x as (select id, 'drop table' w from three) select * from x order by id").count() == 3
     assert tables.read_only_sql(spark, "select id from three union select 9").count() == 4
+    assert tables.read_only_sql(spark, "values (1), (2)").count() == 2 and tables.read_only_sql(spark, "select * from range(20000)").count() == 20000
+    assert tables.read_only_sql(spark, "select * from range(20000)", 7).count() == 7
+    assert tables.read_only_sql(spark, "select id, (select max(id) from three) m, explode(array(1, 2)) from three where id in (select id from three)").count() == 6
+    jvm = "reflect('java.lang.System', 'currentTimeMillis')"
+    for bad in (f"select {jvm}", f"with x as (select {jvm} a) select * from x", f"select id from three where id > (select count({jvm}))", f"select java_method('java.lang.System', 'currentTimeMillis')"):
+        with pytest.raises(ValueError):
+            tables.read_only_sql(spark, bad)
     for bad in ("drop view three", "create table t as select 1", "insert into three values (1)", "set x=1", "cache table three"):
         with pytest.raises(ValueError):
             tables.read_only_sql(spark, bad)
