@@ -12,11 +12,13 @@ from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from mergeloom.session import Scratch
 
+#: Vocabulary file on the driver; its content goes to the executors with the job, so they need no such file.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: Split pattern of the public byte-level BPE (fixed value).
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
@@ -24,30 +26,29 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 SLICES = 4096
 
 
-def encoder(path: str):
+def encoder(ranks: bytes):
+    """The tokenizer of a vocabulary file's content."""
     import base64
 
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-    return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+    known = {base64.b64decode(a): int(b) for a, b in (line.split() for line in ranks.splitlines() if line.strip())}
+    return tiktoken.Encoding("mix", pat_str=PATTERN, mergeable_ranks=known, special_tokens={})
 
 
-def _count(batches: Iterator[pa.RecordBatch], path: str) -> Iterator[pa.RecordBatch]:
-    e = encoder(path)
+def _count(batches: Iterator[pa.RecordBatch], ranks: Broadcast[bytes]) -> Iterator[pa.RecordBatch]:
+    e = encoder(ranks.value)
     for batch in batches:
-        n = [len(e.encode_ordinary(t.as_py())) for t in batch.column("text")]
+        n = [len(x) for x in e.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1)]
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("leaf"), pa.array(n, pa.int64())], ["d", "leaf", "n"])
 
 
 def fill(amount: float, parts: dict, weight: dict, room: dict) -> dict:
-    """Shares of amount by weight, none above its room; what one cannot take goes to the others by weight."""
-    got, left = dict.fromkeys(parts, 0.0), set(parts)
+    """Shares of amount by weight, none above its room; what one cannot take goes to the others by weight, 0 to a weight of 0."""
+    got, left = dict.fromkeys(parts, 0.0), {p for p in parts if weight[p] > 0}
     while left and amount > 1e-9:
         total = sum(weight[p] for p in left)
-        even = not total
-        want = {p: amount * (1 / len(left) if even else weight[p] / total) for p in left}
+        want = {p: amount * weight[p] / total for p in left}
         full = {p for p in left if want[p] >= room[p] - got[p]}
         if not full:
             for p in left:
@@ -61,12 +62,12 @@ def fill(amount: float, parts: dict, weight: dict, room: dict) -> dict:
 
 
 def budgets(leaves: list[tuple[tuple[str, ...], float, float]], amount: float) -> dict[tuple[str, ...], float]:
-    """Budget of each leaf (path, weight, room): shortages go to siblings before they go up the tree."""
+    """Budget of each leaf (path, weight, room): shortages go to siblings before they go up the tree, none to a leaf of weight 0."""
     weight, room, below = defaultdict(float), defaultdict(float), defaultdict(set)
     for path, w, r in leaves:
         for i in range(len(path) + 1):
             weight[path[:i]] += w
-            room[path[:i]] += r
+            room[path[:i]] += r if w > 0 else 0.0
             if i < len(path):
                 below[path[:i]].add(path[: i + 1])
     out, open_ = {}, [((), min(amount, room[()]))] if leaves else []
@@ -96,7 +97,8 @@ def mix(
     a null key, without a target source or with an empty text have no part in it. Leaf budgets add up to `total` tokens,
     by default the tokens of all records that take part, or to all that repeats allow if that is less. Each leaf keeps
     within its budget and misses it by less than one record. The language level splits a source's target by the tokens
-    it has in each language. A source without records, a target of 0 and empty tables are allowed. Rows with the same
+    it has in each language. A source without records, a target of 0 (which gets nothing, whatever others lack) and empty
+    tables are allowed. Rows with the same
     key share their place in the order and are taken apart by their size only.
     """
     spark, scratch = docs.sparkSession, Scratch(docs.sparkSession)
@@ -105,7 +107,9 @@ def mix(
     leaf = F.concat_ws("\u0001", language(F.col(f"`{lang}`")), src)
     some = docs.select(F.col(f"`{key}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("text"), leaf.alias("leaf"), src.alias("s"))
     some = some.filter(F.col("d").isNotNull() & (F.length("text") > 0) & F.col("s").isin(list(want) or [""])).drop("s")
-    sized = scratch.cut(some.mapInArrow(lambda it: _count(it, tokenizer), "d bigint, leaf string, n bigint").filter("n > 0"))
+    with open(tokenizer, "rb") as f:
+        ranks = spark.sparkContext.broadcast(f.read())
+    sized = scratch.cut(some.mapInArrow(lambda it: _count(it, ranks), "d bigint, leaf string, n bigint").filter("n > 0"))
     # A row per language code and target source: their number is bounded by the targets.
     have = {tuple(r[0].split("\u0001")): r[1] for r in sized.groupBy("leaf").agg(F.sum("n")).collect()}
     of_source: dict[str, int] = defaultdict(int)

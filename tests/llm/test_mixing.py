@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import pytest
 from conftest import rows
 
@@ -16,6 +18,18 @@ def test_fill_and_tree():
     assert {k[2]: round(v, 6) for k, v in short.items()} == {"a": 10, "c": 90}  # then it goes up the tree
 
 
+def test_a_weight_of_zero_gets_nothing():
+    leaves = [(("d", "en", "a"), 0.5, 100.0), (("d", "en", "z"), 0.0, 1000.0), (("d", "en", "y"), 0.1, 300.0), (("e", "en", "b"), 0.4, 1000.0)]
+    assert {k[2]: round(v, 6) for k, v in budgets(leaves, 1000).items()} == {"a": 100, "z": 0, "y": 300, "b": 600}
+    assert {k[2]: round(v, 6) for k, v in budgets([(("d", "en", "a"), 0.5, 100.0), (("d", "en", "z"), 0.0, 1000.0)], 1000).items()} == {"a": 100, "z": 0}
+
+
+def test_zero_target_with_records(spark):
+    targets = spark.createDataFrame([("a", 0.5, 1), ("b", 0.0, 9), ("c", 0.5, 1)], "source string, target_share double, max_repeats int")
+    table = {r.source: r.mixed_tokens for r in mix(docs(spark), "id", "text", "lang", "src", targets, DOMAINS, total=5000)[1].collect()}
+    assert table["b"] == 0 and table["a"] > 1000 and table["c"] > 0
+
+
 def docs(spark):
     text = "the quick brown fox jumps over the lazy dog "
     data = [(i, text * (1 + i % 4), "en" if i % 3 else "es", "A " if i % 2 else "b", "", 1) for i in range(120)] + [(500 + i, text, None, "c", "", 1) for i in range(5)]
@@ -28,7 +42,7 @@ TARGETS = [("a", 0.5, 2), ("b", 0.2, 1), ("c", 0.3, 3), ("gone", 0.0, 4)]
 def test_mixture_keeps_budgets_and_repeats(spark):
     targets = spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int")
     mixture, shares = mix(docs(spark), "id", "text", "lang", "src", targets, DOMAINS)
-    e = encoder(TOKENIZER)
+    e = encoder(Path(TOKENIZER).read_bytes())
     size = {r.id: len(e.encode_ordinary(r.text or "")) for r in docs(spark).collect()}
     got = mixture.collect()
     assert {r.id for r in got}.isdisjoint({None, 900, 901, 902, 903}) and len({r.id for r in got}) == len(got)
@@ -61,5 +75,5 @@ def test_absent_source_gives_way_to_its_domain(spark):
 
 @pytest.mark.parametrize("text", ["Hello, world's end! 123", "¿Qué tal?  años\n\n", "  spaces   and\ttabs "])
 def test_tokenizer_round_trip(text):
-    e = encoder(TOKENIZER)
+    e = encoder(Path(TOKENIZER).read_bytes())
     assert e.decode(e.encode_ordinary(text)) == text
