@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.core import nz
 from mergeloom.llm.addresses import same_building
-from mergeloom.llm.groups import group_records, star_links
+from mergeloom.llm.groups import group_records
 from mergeloom.llm.linkage import link
 from mergeloom.llm.leaks import leaked, without_leaks
 from mergeloom.llm.mixing import mix
@@ -56,11 +56,9 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = signals.select("npi").distinct()
     ends = table(spark, sf_dir, "practice_links").select(F.trim("npi_a").alias("u"), F.trim("npi_b").alias("v")).filter("u <> v")
     links = ends.join(records.toDF("u"), "u", "left_semi").join(records.toDF("v"), "v", "left_semi").select("u", "v")
-    for c in ("stealth_dso_cluster_id", "micro_cluster_id"):
-        g = F.lower(nz(c)).alias("g")
-        members = signals.select(g, "npi").filter(F.col("g").isNotNull() & ~F.col("g").isin(NO_GROUP))
-        links = links.unionByName(star_links(members, "g", "npi"))
-    return group_records(links, "u", "v").toDF("group_npi", "npi")
+    ids = [signals.select(F.concat(F.lit(f"{c}:"), F.lower(nz(c))).alias("group"), "npi", F.lower(nz(c)).alias("id")) for c in ("stealth_dso_cluster_id", "micro_cluster_id")]
+    groups = ids[0].unionByName(ids[1]).filter(F.col("id").isNotNull() & ~F.col("id").isin(NO_GROUP))
+    return group_records(links, "u", "v", groups, "group", "npi").toDF("group_npi", "npi")
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:

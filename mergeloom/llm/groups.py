@@ -2,83 +2,113 @@
 
 Every vertex draws an exponentially distributed head start. Clusters grow from all vertices at once, one edge per step;
 a vertex joins the cluster whose head start less distance is greatest, so that clusters stay shallow and few edges run
-between them. Clusters contract to their centres, the edges between clusters form a smaller graph, and the same is
-done again until no edge is left. Assignments of all levels are then composed.
+between them. After a fixed number of steps clusters contract to their centres, the edges between clusters form a
+smaller graph, and the same is done again until no edge is left. Assignments of all levels are then composed.
+
+The edges of a level are stored in buckets of their first end, together with a loop at every vertex. A step joins them
+to the state, which is partitioned in the same way, and takes the best offer per vertex: only offers that beat a
+vertex's own head start are shuffled, combined on the map side first. All steps of a level run as one job.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.session import Scratch
+from mergeloom.session import Scratch, new_path
 
-#: Rate of the head starts at the first level, where an edge runs between clusters with probability of about 1-exp(-RATE),
-#: and the longest head start, which bounds the depth of a cluster and the steps of the level. At each further level,
-#: the graph being smaller, the rate is halved and the bound doubled.
-RATE, DEPTH = 0.25, 8
-#: Branches of the star that stands for one group id.
-BRANCHES = 256
+#: Rate of the head starts: an edge runs between clusters with a probability of about 1-exp(-RATE).
+RATE = 0.4
+#: Steps for which clusters grow before they contract.
+STEPS = 4
+#: Edges of one vertex that may lie in one bucket; those of a vertex with more are spread over branches.
+DEGREE = 20_000
+#: What marks names of branches and groups, which are no records.
+_MARK = "\u0001"
 
 
-def star_links(members: DataFrame, group: str, key: str) -> DataFrame:
-    """Links (u, v) that connect all members of a group, in two stages so that no vertex gathers the whole group."""
-    m = members.select(F.col(group).alias("g"), F.col(key).alias("u"), F.pmod(F.hash(key), F.lit(BRANCHES)).alias("s"))
-    branch = m.groupBy("g", "s").agg(F.min("u").alias("v"))
-    root = branch.groupBy("g").agg(F.min("v").alias("r"))
-    return m.join(branch, ["g", "s"]).select("u", "v").unionByName(branch.join(root, "g").select(F.col("v").alias("u"), F.col("r").alias("v"))).filter("u <> v")
+def spread_hubs(edges: DataFrame, degree: int = DEGREE) -> DataFrame:
+    """The edges (u, v) with those of a vertex of more than `degree` edges moved to branches, which are tied to it.
+
+    Branches are few (edges / degree in all) and connect what the hub connected. A hub of so many branches that these
+    are too many themselves, degree squared, is left with them.
+    """
+    hubs = edges.groupBy("u").agg(F.ceil(F.count(F.lit(1)) / degree).cast("int").alias("parts")).filter("parts > 1")
+    branch = lambda hub, s: F.concat(F.lit(_MARK), hub, F.lit(_MARK), s.cast("string"))
+    hubs_v = hubs.select(F.col("u").alias("v"), F.col("parts").alias("parts_v"))
+    moved = edges.join(hubs, "u", "left").join(hubs_v, "v", "left").select(
+        F.when(F.col("parts").isNull(), F.col("u")).otherwise(branch(F.col("u"), F.pmod(F.hash("v"), F.col("parts")))).alias("u"),
+        F.when(F.col("parts_v").isNull(), F.col("v")).otherwise(branch(F.col("v"), F.pmod(F.hash("u"), F.col("parts_v")))).alias("v"),
+    )
+    ties = hubs.select("u", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("s")).select("u", branch(F.col("u"), F.col("s")).alias("v"))
+    return moved.unionByName(ties).unionByName(ties.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
 def _head_start(v: Column, level: int) -> Column:
     uniform = (F.shiftrightunsigned(F.xxhash64(v, F.lit(level)), 11).cast("double") + 1) / float(1 << 53)
-    return F.least(-F.log(uniform) * (2.0**level / RATE), F.lit(DEPTH * 2.0**level))
-
-
-def _decompose(edges: DataFrame, level: int, scratch: Scratch) -> DataFrame:
-    """(v, c): the cluster centre of every vertex of the symmetric edges (u, v)."""
-    start = edges.select(F.col("u").alias("v")).distinct()
-    state = scratch.cut(start.select("v", _head_start(F.col("v"), level).alias("k"), F.col("v").alias("c"), F.lit(True).alias("new")))
-    while True:
-        fresh = state.filter("new").select(F.col("v").alias("u"), F.col("k") - 1, "c").toDF("u", "k", "c")
-        offers = edges.join(fresh, "u").select("v", "k", "c").filter(F.col("k") > _head_start(F.col("v"), level))
-        best = offers.groupBy("v").agg(F.max(F.struct("k", "c")).alias("b"))
-        better = F.coalesce(F.col("b.k") > F.col("k"), F.lit(False))
-        grown, changed = scratch.cut_counting(
-            state.join(best, "v", "left").select(
-                "v", F.when(better, F.col("b.k")).otherwise(F.col("k")).alias("k"), F.when(better, F.col("b.c")).otherwise(F.col("c")).alias("c"), better.alias("new")
-            ),
-            F.col("new"),
-        )
-        scratch.free(state)
-        state = grown
-        if not changed:
-            return state.select("v", "c")
-
-
-def group_records(links: DataFrame, u: str, v: str) -> DataFrame:
+    return -F.log(uniform) / RATE
+
+
+class _Edges:
+    """Symmetric edges (u, v, w) in buckets of u, with a loop (u, u, 0) at every vertex."""
+
+    def __init__(self, edges: DataFrame):
+        self.spark, self.name, self.path = edges.sparkSession, f"level_edges_{uuid.uuid4().hex}", new_path(edges.sparkSession)
+        loops = edges.select("u").distinct().select("u", F.col("u").alias("v"), F.lit(0).alias("w"))
+        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
+        both = edges.select("u", "v", F.lit(1).alias("w")).unionByName(loops).repartition(buckets, "u")
+        both.write.format("parquet").option("path", self.path).option("compression", "zstd").bucketBy(buckets, "u").sortBy("u").saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+    def drop(self) -> None:
+        self.spark.sql(f"drop table if exists {self.name}")
+        p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
+        p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def _decompose(edges: _Edges, level: int) -> DataFrame:
+    """(u, c): the cluster centre of every vertex after all steps."""
+    state = edges.read().filter("w = 0").select("u", _head_start(F.col("u"), level).alias("k"), F.col("u").alias("c"))
+    for _ in range(STEPS):
+        offers = edges.read().join(state, "u").select("v", (F.col("k") - F.col("w")).alias("k"), "c", "w")
+        offers = offers.filter((F.col("w") == 0) | (F.col("k") > _head_start(F.col("v"), level)))
+        state = offers.groupBy("v").agg(F.max(F.struct("k", "c")).alias("b")).select(F.col("v").alias("u"), "b.k", "b.c")
+    return state.select("u", "c")
+
+
+def group_records(links: DataFrame, u: str, v: str, groups: DataFrame | None = None, group: str = "group", record: str = "record") -> DataFrame:
     """(group, record) for every record with a link to another: group is the least record of all connected ones.
 
-    Links with a null end, and links of a record to itself, are ignored; repeats and both directions change nothing.
-    Records are compared as strings. No links give no rows.
+    groups: memberships (group, record); all records of one group are linked. Links with a null end, links of a record
+    to itself, and memberships with a null are ignored; repeats and both directions change nothing. Records are compared
+    as strings and must not contain the character U+0001. No links give no rows.
     """
     scratch = Scratch(links.sparkSession)
     one = links.select(F.col(u).cast("string").alias("u"), F.col(v).cast("string").alias("v")).filter("u <> v")
-    edges, left = scratch.cut_counting(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), F.lit(True))
-    maps = []
+    if groups is not None:
+        hub = F.concat(F.lit(_MARK), F.col(group).cast("string"))
+        one = one.unionByName(groups.select(hub.alias("u"), F.col(record).cast("string").alias("v")).filter("u is not null and v is not null"))
+    symmetric, left = scratch.cut_counting(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), F.lit(True))
+    edges, maps = _Edges(spread_hubs(symmetric)), []
     while left:
-        centre = _decompose(edges, len(maps), scratch)
+        centre = scratch.cut(_decompose(edges, len(maps)))
         maps.append(centre)
-        from_, to = centre.toDF("u", "cu"), centre.toDF("v", "cv")
-        across = edges.join(from_, "u").select("cu", "v").join(to, "v").filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
+        across = edges.read().filter("w = 1").join(centre.withColumnRenamed("c", "cu"), "u").select("cu", "v").join(centre.toDF("v", "cv"), "v")
+        across = across.filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
         smaller, left = scratch.cut_counting(across, F.lit(True))
-        scratch.free(edges)
-        edges = smaller
+        edges.drop()
+        if left:
+            edges = _Edges(smaller)
     if not maps:
+        edges.drop()
         return links.sparkSession.createDataFrame([], "group string, record string")
     whole = maps.pop()
     while maps:
-        below = maps.pop()
-        up = whole.toDF("c", "top")
-        whole = scratch.cut(below.join(up, "c", "left").select("v", F.coalesce("top", "c").alias("c")))
-    least = whole.groupBy("c").agg(F.min("v").alias("group"))
-    return whole.join(least, "c").select("group", F.col("v").alias("record"))
+        whole = scratch.cut(maps.pop().join(whole.toDF("c", "top"), "c", "left").select("u", F.coalesce("top", "c").alias("c")))
+    whole = whole.filter(~F.col("u").startswith(_MARK))
+    least = whole.groupBy("c").agg(F.min("u").alias("group"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return whole.join(least, "c").select("group", F.col("u").alias("record"))

@@ -2,7 +2,7 @@ import random
 
 from conftest import rows
 
-from mergeloom.llm.groups import group_records, star_links
+from mergeloom.llm.groups import group_records, spread_hubs
 
 
 def brute(links):
@@ -31,13 +31,27 @@ def test_against_union_find(spark):
     assert rows(group_records(df, "a", "b")) == brute(links)
 
 
-def test_star_connects_a_group_and_bounds_degrees(spark):
-    members = spark.createDataFrame([("g", f"m{i}") for i in range(3000)] + [("one", "alone"), ("two", "p"), ("two", "q")], "g string, k string")
-    links = star_links(members, "g", "k")
-    found = rows(group_records(links, "u", "v"))
-    assert found == brute([tuple(r) for r in links.collect()])
-    assert len(found) == 3002 and ("alone" not in {x for _, x in found})
-    assert links.groupBy("v").count().agg({"count": "max"}).first()[0] <= 300
+def test_groups_and_hubs(spark):
+    members = [("g", f"m{i}") for i in range(900)] + [("one", "alone"), ("two", "p"), ("two", "q"), (None, "r"), ("two", None), ("two", "p"), ("three", "q"), ("three", "c005")]
+    links = [(f"c{i:03}", f"c{i + 1:03}") for i in range(30)] + [("p", "p")]
+    df, groups = spark.createDataFrame(links, "a string, b string"), spark.createDataFrame(members, "gid string, k string")
+    first = {}
+    pairs = links + [(first.setdefault(g, k), k) for g, k in members if g and k]
+    assert rows(group_records(df, "a", "b", groups, "gid", "k")) == brute(pairs)
+
+
+def test_hubs_are_spread_and_stay_connected(spark):
+    one = [("hub", f"m{i}") for i in range(500)] + [("hub", "hub2")] + [("hub2", f"n{i}") for i in range(300)] + [("x", "y")]
+    spread = spread_hubs(spark.createDataFrame(one + [(b, a) for a, b in one], "u string, v string"), 50)
+    assert spread.groupBy("u").count().agg({"count": "max"}).first()[0] <= 90
+    real = {}
+    for g, r in brute([tuple(r) for r in spread.collect()]):
+        if "\u0001" not in r:
+            real.setdefault(g, set()).add(r)
+    want = {}
+    for g, r in brute(one):
+        want.setdefault(g, set()).add(r)
+    assert sorted(map(sorted, real.values())) == sorted(map(sorted, want.values()))
 
 
 def test_empty(spark):
