@@ -13,7 +13,7 @@ from mergeloom.llm.groups import group_records
 from mergeloom.llm.linkage import link
 from mergeloom.llm.leaks import leaked, without_leaks
 from mergeloom.llm.mixing import mix
-from mergeloom.llm.spans import shared_share, sharing_pairs
+from mergeloom.llm.spans import shared_share, sharing_classes, sharing_pairs
 from mergeloom.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -110,6 +110,11 @@ def p10_shared(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shared_share(table(spark, sf_dir, "documents"), "doc_id", "text", 240)
 
 
+def p10_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sets of documents with a stretch in common, as membership."""
+    return sharing_classes(table(spark, sf_dir, "documents"), "doc_id", "text", 240)
+
+
 def queries() -> dict[str, Query]:
     return {
         "p3_found": p3_found,
@@ -123,6 +128,7 @@ def queries() -> dict[str, Query]:
         "p9_shares": p9_shares,
         "p10_found": p10_found,
         "p10_shared": p10_shared,
+        "p10_classes": p10_classes,
     }
 
 

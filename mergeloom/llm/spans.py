@@ -1,9 +1,11 @@
 """Long stretches of text that several records share verbatim, by level-wise doubling.
 
-Any stretch of 240 characters in two records makes both choose the same anchor in its first half: the place of the
-least hash among 120 neighbouring character groups. Windows of 60 characters at anchors are counted; those in more
-than one record are extended to 120; those still repeated are extended to every window of 240 that chose this anchor.
-Windows of 240 repeated in several records are the shared stretches; they are doubled on until none is repeated.
+Windows of half the wanted length are counted first; those in more than one record are extended to twice that length,
+and so on until none is repeated. Not every window need be counted at the first level: any stretch of the wanted
+length in two records makes both choose the same anchor in its first half, the place of the least hash among the
+neighbouring character groups. Windows of half the length at anchors are counted; around those that are repeated every
+window of the full length that chose this anchor is taken. Hashes of windows are differences of running sums, so a
+window costs the same whatever its length; windows are equal if two independent 64-bit hashes are.
 """
 
 from __future__ import annotations
@@ -12,20 +14,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from mergeloom.operators.pairs import member_pairs
+from mergeloom.operators.pairs import distinct_groups, member_pairs
 from mergeloom.session import Scratch
 
 _BASE = 0x9E3779B97F4A7C15
+#: Odd multipliers of the two window hashes, with their inverses modulo 2^64, and what the characters are mixed with.
+_POWERS = [(0xD1342543DE82EF95, 0x9FB21C651E98DF25), (0x2545F4914F6CDD1D, 0x94D049BB133111EB)]
+
+
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+
+
+def _mixed(x: np.ndarray, by: int) -> np.ndarray:
+    x = (x + np.uint64(1)) * np.uint64(by)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(_BASE)
+    return x ^ (x >> np.uint64(32))
+
+
+def _powers(base: int, n: int) -> np.ndarray:
+    out = np.full(n, base, dtype=np.uint64)
+    out[:1] = 1
+    return np.multiply.accumulate(out)
+
+
+class Windows:
+    """Hashes of any windows of a text: sums of mixed characters times powers of an odd number, modulo 2^64."""
+
+    def __init__(self, codes: np.ndarray, which: int):
+        self.base, mix = _POWERS[which]
+        terms = _mixed(codes, mix) * _powers(self.base, len(codes))
+        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(terms, dtype=np.uint64)])
+        self.back = _powers(pow(self.base, -1, 1 << 64), len(codes) + 1)
+
+    def at(self, starts: np.ndarray, n: int) -> np.ndarray:
+        """Hashes of the windows of n characters at the given starts, as signed numbers."""
+        h = (self.sums[starts + n] - self.sums[starts]) * self.back[starts]
+        return _mixed(h, self.base).view(np.int64)
 
 
 def anchors(text: str, length: int) -> np.ndarray:
     """For each start of a window of `length` characters, the anchor it chooses."""
     reach, group = length // 2, length // 6
-    c = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32).astype(np.uint64)
+    c = _codes(text)
     h = c * np.uint64(_BASE)
     width = 1
     while width < group:  # hash of `group` characters from hashes of its parts
@@ -44,34 +79,32 @@ def anchors(text: str, length: int) -> np.ndarray:
     return place[: len(text) - length + 1]
 
 
-def _digest(text: str, start: int, n: int) -> int:
-    return xxhash.xxh3_64_intdigest(text[start : start + n].encode("utf-8", "surrogatepass")) - (1 << 63)
-
-
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        doc, at, h1, h2 = [], [], [], []
+        doc, at, h = [], [], []
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = t.as_py()
-            if len(text) < length:
-                continue
-            for a in np.unique(anchors(text, length)).tolist():
-                doc.append(d)
+            if len(text) >= length:
+                a = np.unique(anchors(text, length))
+                doc.append(np.full(len(a), d, np.int64))
                 at.append(a)
-                h1.append(_digest(text, a, length // 4))
-                h2.append(_digest(text, a, length // 2))
-        yield pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64())], ["d", "a", "h1", "h2"])
+                h.append(Windows(_codes(text), 0).at(a, length // 2))
+        if doc:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in ((doc, np.int64), (at, np.int32), (h, np.int64))], ["d", "a", "h"])
 
 
 def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for d, t, keep in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+        for d, t, keep in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2), strict=True):
             text = t.as_py()
-            starts = np.flatnonzero(np.isin(anchors(text, length), keep)).tolist()
+            chosen = np.zeros(len(text) + 1, bool)
+            chosen[keep.values.to_numpy(zero_copy_only=False)] = True
+            starts, codes = np.flatnonzero(chosen[anchors(text, length)]), _codes(text)
+            hashes = [Windows(codes, i).at(starts, length) for i in (0, 1)]
             for i in range(0, len(starts), 50_000):
-                part = starts[i : i + 50_000]
-                cols = [pa.array([d] * len(part), pa.int64()), pa.array(part, pa.int32()), pa.array([_digest(text, p, length) for p in part], pa.int64())]
-                yield pa.RecordBatch.from_arrays(cols, ["d", "p", "h"])
+                part = slice(i, i + 50_000)
+                cols = [np.full(len(starts[part]), d, np.int64), starts[part].astype(np.int32), hashes[0][part], hashes[1][part]]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["d", "p", "h", "g"])
 
 
 def _repeated(rows: DataFrame, *by: str) -> DataFrame:
@@ -80,25 +113,43 @@ def _repeated(rows: DataFrame, *by: str) -> DataFrame:
 
 
 def shared_windows(docs: DataFrame, key: str, text: str, length: int, scratch: Scratch) -> DataFrame:
-    """(d, p, h): every window of `length` characters, by start and hash, that some other record holds too."""
+    """(d, p, h, g): every window of `length` characters, by start and hashes, that some other record holds too.
+
+    Values are counted with a partial count per task; the join back to the rows is one that splits a hot value's rows
+    (a semi join under adaptive execution), so a notice in a third of all records is shared by many tasks.
+    """
     t = docs.select(F.col(f"`{key}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).filter(f"d is not null and length(t) >= {length}")
-    rows = scratch.cut(t.mapInArrow(lambda it: _anchor_rows(it, length), "d bigint, a int, h1 bigint, h2 bigint"))
-    rows = rows.join(_repeated(rows, "h1"), "h1", "left_semi")
-    rows = rows.join(_repeated(rows, "h2"), "h2", "left_semi")
-    kept = rows.groupBy("d").agg(F.collect_set("a").alias("keep"))
-    windows = scratch.cut(t.join(kept, "d").select("d", "t", "keep").mapInArrow(lambda it: _window_rows(it, length), "d bigint, p int, h bigint"))
-    return scratch.cut(windows.join(_repeated(windows, "h"), "h", "left_semi").select("d", "p", "h"))
+    rows = scratch.cut(t.mapInArrow(lambda it: _anchor_rows(it, length), "d bigint, a int, h bigint"))
+    kept = rows.join(_repeated(rows, "h"), "h", "left_semi").groupBy("d").agg(F.collect_set("a").alias("keep"))
+    windows = scratch.cut(t.join(kept, "d").select("d", "t", "keep").mapInArrow(lambda it: _window_rows(it, length), "d bigint, p int, h bigint, g bigint"))
+    out = scratch.cut(windows.join(_repeated(windows, "h", "g"), ["h", "g"], "left_semi").select("d", "p", "h", "g"))
+    scratch.free(rows, windows)
+    return out
+
+
+def _members(docs: DataFrame, key: str, text: str, length: int) -> DataFrame:
+    windows = shared_windows(docs, key, text, length, Scratch(docs.sparkSession))
+    return windows.select(F.struct("h", "g").alias("w"), F.col("d").alias(key)).distinct()
 
 
 def sharing_pairs(docs: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
     """Distinct (key_a, key_b), key_a < key_b, of records that share a stretch of at least `length` characters.
 
     Characters are compared as they are (case, spaces and marks count). Null and shorter texts share nothing; rows with
-    a null key are left out; rows with the same key are one record. Windows are compared by 64-bit hash.
+    a null key are left out; rows with the same key are one record. Windows are compared by two 64-bit hashes. Longer
+    windows can add no pair, so doubling ends at `length` here; `shared_share` goes on.
     """
-    windows = shared_windows(docs, key, text, length, Scratch(docs.sparkSession))
-    members = windows.select("h", F.col("d").alias(key)).distinct()
-    return member_pairs(members, "h", key)
+    return member_pairs(_members(docs, key, text, length), "w", key)
+
+
+def sharing_classes(docs: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
+    """(class_id, key): for each different set of two or more records with a window in common, its members.
+
+    Two records share a stretch exactly if some class holds both. A notice in a million records is one class of a million
+    rows here, not all its pairs. Records, nulls and equality as in `sharing_pairs`.
+    """
+    m = _members(docs, key, text, length)
+    return m.join(distinct_groups(m, "w", key).select("w"), "w").select(F.concat_ws(":", F.hex("w.h"), F.hex("w.g")).alias("class_id"), key)
 
 
 def shared_share(docs: DataFrame, key: str, text: str, length: int = 240) -> DataFrame:
@@ -119,8 +170,8 @@ def shared_share(docs: DataFrame, key: str, text: str, length: int = 240) -> Dat
     longest, n = level.select("d").distinct().withColumn("level", F.lit(length)), length
     while True:
         nxt = level.alias("x").join(level.alias("y"), (F.col("x.d") == F.col("y.d")) & (F.col("y.p") == F.col("x.p") + n))
-        nxt = scratch.cut(nxt.select("x.d", "x.p", F.xxhash64("x.h", "y.h").alias("h")))
-        nxt = scratch.cut(nxt.join(_repeated(nxt, "h"), "h", "left_semi").select("d", "p", "h"))
+        nxt = scratch.cut(nxt.select("x.d", "x.p", F.xxhash64("x.h", "y.h").alias("h"), F.xxhash64("y.g", "x.g").alias("g")))
+        nxt = scratch.cut(nxt.join(_repeated(nxt, "h", "g"), ["h", "g"], "left_semi").select("d", "p", "h", "g"))
         if nxt.isEmpty():
             break
         n *= 2

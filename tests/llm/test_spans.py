@@ -1,9 +1,10 @@
 import random
 
+import numpy as np
 import pytest
 from conftest import rows
 
-from mergeloom.llm.spans import anchors, shared_share, sharing_pairs
+from mergeloom.llm.spans import Windows, _codes, anchors, shared_share, sharing_classes, sharing_pairs
 
 
 def windows(text, n):
@@ -29,6 +30,24 @@ def test_pairs_against_brute_force(spark):
     assert rows(sharing_pairs(df, "doc", "text", 240)) == want
 
 
+def test_classes_give_the_same_pairs(spark):
+    df = spark.createDataFrame(corpus(), "doc bigint, text string")
+    sets = {}
+    for c, d in rows(sharing_classes(df, "doc", "text", 240)):
+        sets.setdefault(c, set()).add(d)
+    assert sorted({(a, b) for m in sets.values() for a in m for b in m if a < b}) == rows(sharing_pairs(df, "doc", "text", 240))
+    assert len(set(map(frozenset, sets.values()))) == len(sets) and min(map(len, sets.values())) > 1
+
+
+def test_window_hashes_tell_texts_apart():
+    rng = random.Random(4)
+    text = "".join(rng.choice("ab\U0001d11e") for _ in range(400)) * 2
+    for which in (0, 1):
+        h = Windows(_codes(text), which).at(np.arange(len(text) - 11), 12)
+        assert len(set(h.tolist())) == len({text[i : i + 12] for i in range(len(text) - 11)})
+        assert (h[:380] == h[400:780]).all()
+
+
 def test_shares_against_brute_force(spark):
     docs = corpus()
     text = {d: t or "" for d, t in docs if d is not None}
