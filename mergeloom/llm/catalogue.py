@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from mergeloom.functions.core import nz
 from mergeloom.llm.addresses import same_building
 from mergeloom.llm.groups import group_records
-from mergeloom.llm.linkage import link
+from mergeloom.llm.linkage import LEGAL_WORDS, Vocabulary, link
 from mergeloom.llm.leaks import leaked, without_leaks
 from mergeloom.llm.mixing import mix
 from mergeloom.llm.spans import shared_share, sharing_classes, sharing_pairs
@@ -19,6 +19,17 @@ from mergeloom.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+# Short forms and synonyms in names of dental offices, and titles that carry no name.
+DENTAL = Vocabulary(
+    drop=(*LEGAL_WORDS, "dds", "dmd", "maxillofacial"),
+    long_forms={
+        "fam": "family", "assoc": "associates", "assocs": "associates", "assc": "associates", "ctr": "center", "centre": "center", "grp": "group",
+        "ortho": "orthodontics", "perio": "periodontics", "endo": "endodontics", "dent": "dental", "dentist": "dental", "mgmt": "management", "svcs": "services", "pediatrics": "pediatric",
+        "srgy": "surgery", "surg": "surgery", "dentistry": "dental", "aesthetic": "cosmetic", "children": "pediatric", "childrens": "pediatric",
+    },
+)
+
+
 def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(source_table, source_id, npi, confidence, levels): offices and deal targets with their firms, estimated together."""
     firms = table(spark, sf_dir, "practices").filter(F.col("entity_type").isin("organization", "2"))
@@ -32,7 +43,7 @@ def _matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     places = {c: c for c in ("phone", "address", "zip", "city", "state")}
     found = link(
         offices.unionByName(targets, allowMissingColumns=True), {"id": "id", "names": ["name"]} | places,
-        firms, {"id": "npi", "names": ["practice_name", "doing_business_as"]} | places, accept=0.4,
+        firms, {"id": "npi", "names": ["practice_name", "doing_business_as"]} | places, accept=0.4, vocabulary=DENTAL,
     )
     part = F.split("left_id", ":")
     return found.select(part[0].alias("source_table"), part[1].cast("bigint").alias("source_id"), F.col("right_id").alias("npi"), "confidence", "name_level", "phone_level", "address_level", "place_level")

@@ -1,15 +1,18 @@
 """Matching records of two sources without a common key: probabilistic linkage.
 
-Several blocking passes propose pairs (telephone, house number within a ZIP or city, rare name words within a state or
-ZIP up to one typing error, commoner ones within a ZIP or city). Each pair is reduced to levels of agreement of name,
-telephone, address and place. Expectation-maximisation over the counts of level patterns estimates how often matching
-and other pairs show each level; a pair's confidence is the posterior probability that it matches.
+Several blocking passes propose pairs: equal telephones; equal house numbers within a ZIP or city; and names that can
+reach a least score, found by their telling words, up to a typing error, within a ZIP, city or state. Each pair is
+reduced to levels of agreement of name, telephone, address and place. Expectation-maximisation over the counts of level
+patterns estimates how often matching and other pairs show each level; a pair's confidence is the posterior probability
+that it matches.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -18,41 +21,58 @@ from pyspark.sql import functions as F
 
 from mergeloom.functions.core import phone10
 from mergeloom.llm.addresses import letters, one_edit, parsed
+from mergeloom.operators.pairs import split_join
 from mergeloom.session import Scratch
 
-# Endings and joining words that carry no name, and common short forms.
-NO_NAME = ["llc", "inc", "pc", "pllc", "llp", "ltd", "dds", "dmd", "pa", "corp", "co", "the", "and", "of", "at", "in", "by", "a", "p", "c", "s", "d", "l", "maxillofacial"]
-LONG_FORMS = {
-    "fam": "family", "assoc": "associates", "assocs": "associates", "assc": "associates", "ctr": "center", "centre": "center", "grp": "group",
-    "ortho": "orthodontics", "perio": "periodontics", "endo": "endodontics", "dent": "dental", "dentist": "dental", "mgmt": "management", "svcs": "services", "pediatrics": "pediatric",
-    "srgy": "surgery", "surg": "surgery", "dentistry": "dental", "aesthetic": "cosmetic", "children": "pediatric", "childrens": "pediatric",
-}
-#: Share of right-hand names above which a word blocks only with the ZIP or city, and above which it blocks not at all.
-ZONE, STOP = 0.0005, 0.01
-#: Numbers of right-hand names up to which a word counts as below these shares, however few names there are.
-ZONE_LEAST, STOP_LEAST = 50, 1000
-#: Name score that a pair must be able to reach to meet by common words, and the most right-hand records of a key in one task.
-REACH, CHUNK = 0.35, 256
+#: Greatest share of right-hand names in which a word is rare, and from which on it tells nothing about a name.
+RARE, COMMON = 0.0005, 0.01
+#: Number of right-hand names up to which a word is rare however few names there are.
+RARE_LEAST = 50
+#: Name score that a pair must be able to reach to meet by its words.
+REACH = 0.35
+#: Ratio of the bounds of the classes into which names fall by the weight of all their words.
+CLASS = 1.5
+#: Telephones that more right-hand records have than this share of them, and more than this number, belong to no one place.
+SHARED_PHONE, SHARED_PHONE_LEAST = 0.0005, 50
 FIELDS = ("name", "phone", "address", "place")
 #: Levels of agreement of each field; level 0 is no agreement, the last level is missing.
 LEVELS = {"name": 8, "phone": 3, "address": 6, "place": 5}
 
 
-def name_words(name: Column) -> Column:
-    """Distinct words of a name in long form, without endings and joining words."""
-    plain = F.regexp_replace(F.lower(name), "['’.]", "")
-    words = F.array_distinct(F.transform(F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), F.lit(1)), lambda w: F.coalesce(_long_forms()[w], w)))
-    return F.array_except(words, F.array(*[F.lit(w) for w in NO_NAME]))
+# Legal forms and joining words of English names, which tell nothing about them.
+LEGAL_WORDS = ["llc", "inc", "pc", "pllc", "llp", "ltd", "pa", "corp", "co", "the", "and", "of", "at", "in", "by", "a", "p", "c", "s", "d", "l"]
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """What is known about the words of a field of business.
+
+    drop: words that carry no name. long_forms: short form or synonym -> the word it stands for. Words of more than five
+    letters in either are also recognised misspelt, if the misspelt word is no common word of the data itself.
+    """
+
+    drop: tuple[str, ...] = tuple(LEGAL_WORDS)
+    long_forms: dict[str, str] = field(default_factory=dict)
+
+    def spelt(self) -> dict[str, str]:
+        """Longer words of which a misspelt word may be a form, and what it then stands for."""
+        return {w: self.long_forms[w] for w in self.long_forms if len(w) > 5} | {w: w for w in self.long_forms.values() if len(w) > 5} | {w: "" for w in self.drop if len(w) > 5}
 
 
-def _long_forms() -> Column:
-    return F.create_map(*[F.lit(x) for kv in LONG_FORMS.items() for x in kv])
+def name_words(name: Column, vocabulary: Vocabulary) -> Column:
+    """Distinct words of a name in long form, without those that carry no name."""
+    plain = F.regexp_replace(F.lower(name), "['’.]", "")
+    words = F.regexp_extract_all(plain, F.lit("([a-z0-9]+)"), F.lit(1))
+    if vocabulary.long_forms:
+        longer = F.create_map(*[F.lit(x) for kv in vocabulary.long_forms.items() for x in kv])
+        words = F.transform(words, lambda w: F.coalesce(longer[w], w))
+    return F.array_except(F.array_distinct(words), F.array(*[F.lit(w) for w in vocabulary.drop]).cast("array<string>"))
 
 
-def _prepared(df: DataFrame, cols: dict[str, object]) -> DataFrame:
+def _prepared(df: DataFrame, cols: dict[str, object], vocabulary: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
     """(id, names, phone, number, dir, street, type, unit, zip, city, state) of a source; absent fields are null."""
     text = lambda f: F.col(f"`{cols[f]}`").cast("string") if cols.get(f) else F.lit(None).cast("string")
-    names = F.filter(F.array(*[name_words(F.col(f"`{c}`")) for c in cols["names"]]), lambda n: F.size(n) > 0)
+    names = F.filter(F.array(*[name_words(F.col(f"`{c}`"), vocabulary) for c in cols["names"]]), lambda n: F.size(n) > 0)
     phone = phone10(text("phone"))
     phone = F.when(~phone.rlike(r"^(\d)\1{9}$") & (F.substring(phone, 1, 3) != "000"), phone)
     out = df.select(
@@ -65,27 +85,21 @@ def _prepared(df: DataFrame, cols: dict[str, object]) -> DataFrame:
     return out.join(street, "address", "left").drop("address").fillna("", ["number", "dir", "street", "type", "unit"])
 
 
-def _keys(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
-    """(id, key): the blocking keys of every record."""
+def _without_shared_phones(a: DataFrame, b: DataFrame, total: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides with the telephones of very many right-hand records as missing."""
+    many = b.filter("phone is not null").groupBy("phone").agg(F.count(F.lit(1)).alias("n"))
+    # Fewer than 1 / SHARED_PHONE telephones can exceed the share.
+    many = F.broadcast(many.filter(F.col("n") > max(SHARED_PHONE * total, SHARED_PHONE_LEAST)).select("phone", F.lit(True).alias("shared")))
+    drop = lambda x: x.join(many, "phone", "left").withColumn("phone", F.when(F.col("shared").isNull(), F.col("phone"))).drop("shared")
+    return drop(a), drop(b)
+
+
+def _keys(side: DataFrame) -> DataFrame:
+    """(id, key): telephone, and house number within ZIP or city."""
     key = lambda kind, *parts: F.when(_all(parts), F.xxhash64(F.lit(kind), *parts))
-    plain = F.array_compact(
-        F.array(
-            key("p", F.col("phone")),
-            F.when(F.col("number") != "", key("zn", F.col("zip"), F.col("number"))),
-            F.when(F.col("number") != "", key("cn", F.col("city"), F.col("state"), F.col("number"))),
-        )
-    )
-    words = side.select("id", "zip", "city", "state", F.explode("names").alias("n")).select("*", F.explode("n").alias("t")).drop("n").distinct()
-    words = words.join(df, "t", "left").withColumn("df", F.coalesce("df", F.lit(0)))
-    rare = words.filter(F.col("df") <= max(ZONE * total, ZONE_LEAST)).withColumn("f", F.explode(_forms(F.col("t")))).select("id", F.explode(F.array(key("st", F.col("state"), F.col("f")), key("zt", F.col("zip"), F.col("f")))).alias("key"))
-    zone = words.filter(F.col("df") <= max(STOP * total, STOP_LEAST)).select("id", F.explode(F.array(key("zw", F.col("zip"), F.col("t")), key("cw", F.col("city"), F.col("t")))).alias("key"))
-    # Names of common words only: all of them together.
-    whole = side.select("id", "zip", "city", F.explode("names").alias("n")).withColumn("n", F.array_join(F.array_sort("n"), " "))
-    whole = whole.select("id", F.explode(F.array(key("za", F.col("zip"), F.col("n")), key("ca", F.col("city"), F.col("n")))).alias("key"))
-    out = side.select("id", F.explode(plain).alias("key"))
-    for more in (rare, zone, whole):
-        out = out.unionByName(more)
-    return out.filter("key is not null").distinct()
+    number = lambda k: F.when(F.col("number") != "", k)
+    keys = F.array(key("p", F.col("phone")), number(key("zn", F.col("zip"), F.col("number"))), number(key("cn", F.col("city"), F.col("state"), F.col("number"))))
+    return side.select("id", F.explode(F.array_compact(keys)).alias("key")).distinct()
 
 
 def frequencies(side: DataFrame) -> DataFrame:
@@ -93,12 +107,12 @@ def frequencies(side: DataFrame) -> DataFrame:
     return side.select("id", F.explode(F.array_distinct(F.flatten("names"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
 
-def candidates(a: DataFrame, b: DataFrame, df: DataFrame | None = None, total: int | None = None) -> DataFrame:
+def candidates(a: DataFrame, b: DataFrame, df: DataFrame | None = None, total: int | None = None, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
     """(id_a, id_b): pairs of prepared records that have a blocking key in common. df, total: word frequencies and size of b."""
     df, total = frequencies(b) if df is None else df, max(1, b.count()) if total is None else total
-    ka, kb = _keys(a, df, total).toDF("id_a", "key"), _keys(b, df, total).toDF("id_b", "key")
-    met = ka.join(kb, "key").select("id_a", "id_b")
-    return met.unionByName(_by_common_words(a, b, df, total)).distinct()
+    scratch = Scratch(a.sparkSession)
+    met = split_join(_keys(a).withColumnRenamed("id", "id_a"), scratch.cut(_keys(b).withColumnRenamed("id", "id_b")), "key")
+    return met.select("id_a", "id_b").unionByName(_by_words(a, b, df, total, vocabulary, scratch)).distinct()
 
 
 def _forms(t: Column) -> Column:
@@ -108,55 +122,72 @@ def _forms(t: Column) -> Column:
     return F.when(n >= 5, F.array_distinct(F.concat(F.array(t), cut))).otherwise(F.array(t))
 
 
-def _respelt(word: str) -> str:
-    return word if (plain := respell(word)) is None else plain
+def _weight(total: int) -> Column:
+    """A word's weight by the number of right-hand names that have it (column df)."""
+    return F.least(F.log(1 + F.lit(total) / (1 + F.coalesce("df", F.lit(0)))), F.log(F.lit(1 + 1 / RARE)))
 
 
-def _placed_words(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
-    """(id, v, zip, city, state, t, w, before, all, rest): the words of every name, rarest first.
+def _placed_words(side: DataFrame, df: DataFrame, total: int, vocabulary: Vocabulary) -> DataFrame:
+    """(id, v, zip, city, state, t, df, w, before, all, rest, ws): the words of every name, rarest first.
 
-    before, rest: weight of the words before and after it, all: of all words. Misspelt common words stand for what they misspell.
+    before, rest: weight of the words before and after it, all: of all words, ws: weights of all. Misspelt words of the
+    vocabulary stand for what they misspell.
     """
     flat = side.select("id", "zip", "city", "state", F.posexplode("names").alias("v", "n")).select("id", "zip", "city", "state", "v", F.explode("n").alias("t"))
-    telling = max(STOP * total, 3)
-    odd = flat.select("t").distinct().join(df, "t", "left").filter((F.coalesce("df", F.lit(0)) <= telling) & (F.length("t") > 4))
-    odd = odd.select("t", F.udf(_respelt, "string")("t").alias("plain")).filter("plain <> t")
-    flat = flat.join(odd, "t", "left").withColumn("t", F.coalesce("plain", "t")).drop("plain").filter("t <> ''").distinct().join(df, "t", "left")
-    w = F.least(F.log(1 + F.lit(total) / (1 + F.coalesce("df", F.lit(0)))), F.log(F.lit(1 + 1 / ZONE)))
+    spelt = vocabulary.spelt()
+    if spelt:
+        odd = flat.select("t").distinct().join(df, "t", "left").filter((F.coalesce("df", F.lit(0)) <= max(COMMON * total, 3)) & (F.length("t") > 4))
+        odd = odd.select("t", F.udf(lambda w: respell(w, spelt), "string")("t").alias("plain")).filter("plain is not null and plain <> t")
+        flat = flat.join(odd, "t", "left").withColumn("t", F.coalesce("plain", "t")).drop("plain").filter("t <> ''").distinct()
+    flat = flat.join(df, "t", "left").withColumn("w", _weight(total))
     name = Window.partitionBy("id", "v")
     order = name.orderBy(F.desc("w"), "t").rowsBetween(Window.unboundedPreceding, -1)
-    out = flat.withColumn("w", w).withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0))).withColumn("all", F.sum("w").over(name))
-    return out.withColumn("rest", F.col("all") - F.col("before") - F.col("w")).drop("df")
+    out = flat.withColumn("before", F.coalesce(F.sum("w").over(order), F.lit(0.0))).withColumn("all", F.sum("w").over(name)).withColumn("ws", F.collect_list("w").over(name))
+    return out.withColumn("rest", F.col("all") - F.col("before") - F.col("w"))
 
 
-def _by_common_words(a: DataFrame, b: DataFrame, df: DataFrame, total: int) -> DataFrame:
-    """(id_a, id_b) of records of one ZIP, city or state that share a word up to one typing error and may reach the least name score.
+def _by_words(a: DataFrame, b: DataFrame, df: DataFrame, total: int, vocabulary: Vocabulary, scratch: Scratch) -> DataFrame:
+    """(id_a, id_b) of records of one ZIP, city or state whose names share a word up to one typing error and may reach the least score.
 
-    If two names reach the score, the words they share hold at least REACH / (2 - REACH) of the weight of each, so the
-    rarest shared word is among the first words of both; pairs whose first words and rests cannot add up are dropped.
-    Words alike up to a typing error are found in the vocabularies, and such a pair meets whatever its weight. Keys of
-    many right-hand records are split.
+    Of the words that two names share, take the heaviest: it and what comes after it in both names bound the weight they
+    share. With the weight of all words of a name this bounds the weight that the other name may have. A word is a key
+    only if some such name can exist. Rare words are keys as they are; commoner ones are keys together with the classes of
+    both names' weights, so that names too long to be alike by a common word never meet. Words alike up to a typing error
+    are found in the vocabularies. Keys of many right-hand records are split.
     """
-    scratch = Scratch(a.sparkSession)
-    wa, wb = scratch.cut(_placed_words(a, df, total)), scratch.cut(_placed_words(b, df, total))
+    wa, wb = (scratch.cut(_placed_words(x, df, total, vocabulary)) for x in (a, b))
     voc = lambda x, s: x.select("t").distinct().filter(F.length("t") >= 5).withColumn("f", F.explode(_forms(F.col("t")))).withColumnRenamed("t", s)
     alike = scratch.cut(voc(wa, "t").join(voc(wb, "x"), "f").filter("t <> x").select("t", "x").distinct())
-
-    def keyed(words: DataFrame, s: str) -> DataFrame:
-        places = F.explode(F.array(*[F.when(_all((F.col(p), F.col("t"))), F.xxhash64(F.lit(p), p, "kind", "t")) for p in ("zip", "city", "state")])).alias("key")
-        return words.select(F.col("id").alias(f"id_{s}"), F.col("v").alias(f"v_{s}"), "w", F.col("all").alias(f"all_{s}"), F.col("rest").alias(f"rest_{s}"), "kind", places).filter("key is not null")
-
-    first = lambda x: x.filter(F.col("before") <= (1 - REACH / (2 - REACH)) * F.col("all") + 1e-9).withColumn("kind", F.lit("same"))
-    other_a = wa.join(alike, "t").withColumn("t", F.col("x")).drop("x").withColumn("kind", F.lit("alike"))
-    other_b = wb.join(alike.select(F.col("x").alias("t")).distinct(), "t", "left_semi").withColumn("kind", F.lit("alike"))
-    ka, kb = keyed(first(wa).unionByName(other_a), "a"), scratch.cut(keyed(first(wb).unionByName(other_b), "b").drop("w", "kind"))
-    hot = kb.groupBy("key").agg(F.ceil(F.count(F.lit(1)) / CHUNK).cast("int").alias("parts")).filter("parts > 1")
-    ka = ka.join(hot, "key", "left").withColumn("salt", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
-    kb = kb.join(hot, "key", "left").withColumn("salt", F.pmod(F.xxhash64("id_b"), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
-    # The rest after the word bounds what later words add; words before it are not shared, or the pair meets by them.
-    most = F.col("w") + F.least("rest_a", "rest_b")
-    reaches = (F.col("kind") == "alike") | (2 * most >= REACH * (F.col("all_a") + F.col("all_b")) - 1e-9)
-    return ka.join(kb, ["key", "salt"]).filter(reaches).select("id_a", "id_b")
+    rare = F.coalesce("df", F.lit(0)) <= max(RARE * total, RARE_LEAST)
+    s, whole, slack = F.col("w") + F.col("rest"), F.col("all"), 1e-9
+    class_ = lambda x: F.floor(F.log(F.greatest(x, F.lit(1e-3))) / float(np.log(CLASS))).cast("int")
+
+    def same(words: DataFrame, right: bool) -> DataFrame:
+        words = words.filter(s >= REACH / (2 - REACH) * whole - slack)
+        own, low, high = class_(whole), class_(REACH / (2 - REACH) * whole - slack), class_(2 * s / REACH - whole + slack)
+        other = F.explode(F.when(rare, F.array(F.lit(0))).otherwise(F.sequence(low, F.greatest(low, high))))
+        words = words.withColumn("own", F.when(rare, F.lit(0)).otherwise(own)).withColumn("other", other)
+        return words.withColumn("kind", F.concat_ws(":", F.lit("same"), *(["other", "own"] if right else ["own", "other"])))
+
+    # A misspelt word weighs no more than the word it stands for, and of its name only words that weigh no more come in.
+    meant = wb.select(F.col("t").alias("x"), F.col("w").alias("w_x")).distinct()
+    other_a = wa.join(alike, "t").join(meant, "x").withColumn("m", F.least("w", "w_x"))
+    lighter = F.aggregate(F.filter("ws", lambda y: y <= F.col("m")), F.lit(0.0), lambda p, y: p + y) - F.when(F.col("w") <= F.col("m"), F.col("w")).otherwise(0.0)
+    other_a = other_a.withColumn("all", whole - F.col("w") + F.col("m")).withColumn("rest", lighter).withColumn("w", F.col("m")).withColumn("t", F.col("x"))
+    other_a = other_a.filter(s >= REACH / (2 - REACH) * whole - slack).withColumn("kind", F.lit("alike"))
+    other_b = wb.join(alike.select(F.col("x").alias("t")).distinct(), "t", "left_semi").filter(s >= REACH / (2 - REACH) * whole - slack).withColumn("kind", F.lit("alike"))
+
+    def keyed(words: DataFrame, side: str) -> DataFrame:
+        places = F.explode(F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.xxhash64(F.lit(p), p, "kind", "t")) for p in ("zip", "city", "state")]))).alias("key")
+        return words.select(F.col("id").alias(f"id_{side}"), "w", whole.alias(f"all_{side}"), F.col("rest").alias(f"rest_{side}"), "kind", places)
+
+    cols = ["id", "zip", "city", "state", "t", "w", "all", "rest", "kind"]
+    ka = keyed(same(wa, False).select(*cols).unionByName(other_a.select(*cols)), "a")
+    kb = scratch.cut(keyed(same(wb, True).select(*cols).unionByName(other_b.select(*cols)), "b").withColumnRenamed("w", "w_b").drop("kind"))
+    m = F.least("w", "w_b")
+    most = m + F.least("rest_a", "rest_b")
+    reaches = 2 * most >= REACH * (F.col("all_a") + F.col("all_b") - F.when(F.col("kind") == "alike", F.col("w_b") - m).otherwise(0.0)) - slack
+    return split_join(ka, kb, "key").filter(reaches).select("id_a", "id_b")
 
 
 def _all(parts: tuple[Column, ...]) -> Column:
@@ -167,27 +198,17 @@ def _all(parts: tuple[Column, ...]) -> Column:
 
 
 def _weighted(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
-    """names as lists of (word, weight): rarer words weigh more, up to a cap."""
+    """names as one text, 'variant:word:weight|...': rarer words weigh more, up to a cap."""
     flat = side.select("id", F.posexplode("names").alias("v", "n")).select("id", "v", F.explode("n").alias("t")).join(df, "t", "left")
-    w = F.least(F.log(1 + F.lit(total) / (1 + F.coalesce("df", F.lit(0)))), F.log(F.lit(1 + 1 / ZONE)))
-    lists = flat.groupBy("id").agg(F.collect_list(F.struct("v", "t", w.alias("w"))).alias("words"))
+    word = F.concat_ws(":", F.col("v").cast("string"), "t", F.round(_weight(total), 4).cast("string"))
+    lists = flat.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(word)), "|").alias("words"))
     return side.drop("names").join(lists, "id", "left")
 
 
-#: What a task has found out about words, kept while it is small.
-_MASKS: dict[str, int] = {}
-_SPELLINGS: dict[str, str | None] = {}
-_MOST_KEPT = 1 << 16
-
-
+@lru_cache(1 << 16)
 def _letters(word: str) -> int:
     """The set of the word's letters as bits."""
-    mask = _MASKS.get(word)
-    if mask is None:
-        if len(_MASKS) >= _MOST_KEPT:
-            _MASKS.clear()
-        mask = _MASKS[word] = sum({1 << (ord(c) & 31) for c in word})
-    return mask
+    return sum({1 << (ord(c) & 31) for c in word})
 
 
 def edits(a: str, b: str, most: int) -> int:
@@ -208,19 +229,11 @@ def edits(a: str, b: str, most: int) -> int:
     return last[-1]
 
 
-#: Longer words of which a misspelt word may be a form.
-_SPELT = {w: LONG_FORMS[w] for w in LONG_FORMS if len(w) > 5} | {w: w for w in LONG_FORMS.values() if len(w) > 5} | {"maxillofacial": ""}
-
-
-def respell(word: str) -> str | None:
-    """The common word that this one misspells, '' for one that carries no name, None if there is none."""
-    if word not in _SPELLINGS:
-        if len(_SPELLINGS) >= _MOST_KEPT:
-            _SPELLINGS.clear()
-        most = 1 if len(word) < 8 else 2
-        near = min(((edits(word, k, most), k) for k in _SPELT if abs(len(k) - len(word)) <= most), default=(9, ""))
-        _SPELLINGS[word] = _SPELT[near[1]] if near[0] <= most else None
-    return _SPELLINGS[word]
+def respell(word: str, spelt: dict[str, str]) -> str | None:
+    """What the known word that this one misspells stands for ('' if it carries no name), None if there is none."""
+    most = 1 if len(word) < 8 else 2
+    near = min(((edits(word, k, most), k) for k in spelt if abs(len(k) - len(word)) <= most), default=(9, ""))
+    return spelt[near[1]] if near[0] <= most else None
 
 
 def name_score(a: list[tuple[str, float]], b: list[tuple[str, float]], telling: float) -> tuple[float, float]:
@@ -255,15 +268,23 @@ def name_score(a: list[tuple[str, float]], b: list[tuple[str, float]], telling:
     return (score / 3 if alone and any(w >= telling for w in free.values()) else score), strongest
 
 
-def _variants(words: list[dict] | None, telling: float) -> list[list[tuple[str, float]]]:
-    by: dict[int, dict[str, float]] = {}
-    for x in words or []:
-        t, w = x["t"], x["w"]
-        if w >= telling and len(t) > 4 and (plain := respell(t)) is not None:
-            t, w = plain, 1.0
-        if t:
-            by.setdefault(x["v"], {}).setdefault(t, w)
-    return [list(n.items()) for n in by.values()]
+class _Names:
+    """Names as `name_score` takes them, from their texts; texts and words that come again are read once."""
+
+    def __init__(self, spelt: dict[str, str], telling: float):
+        self.telling, self.respelt = telling, lru_cache(1 << 16)(lambda w: respell(w, spelt))
+        self.variants = lru_cache(1 << 15)(self._variants)
+
+    def _variants(self, words: str | None) -> list[list[tuple[str, float]]]:
+        by: dict[str, dict[str, float]] = {}
+        for x in words.split("|") if words else ():
+            v, t, weight = x.split(":")
+            w = float(weight)
+            if w >= self.telling and len(t) > 4 and (plain := self.respelt(t)) is not None:
+                t, w = plain, 1.0
+            if t:
+                by.setdefault(v, {}).setdefault(t, w)
+        return [list(n.items()) for n in by.values()]
 
 
 _NAME_STEPS = (0.12, 0.35, 0.6, 0.8, 0.93)
@@ -278,14 +299,23 @@ def _name_level(a: list[list[tuple[str, float]]], b: list[list[tuple[str, float]
     return 6 if level == 5 and best[1] >= rare else level
 
 
+@lru_cache(1 << 15)
+def _bigrams(street: str) -> tuple[set[str], list[str]]:
+    return {street[k : k + 2] for k in range(len(street) - 1)}, re.findall(r"\d+", street)
+
+
+def _streets_alike(a: str, b: str) -> bool:
+    (ga, na), (gb, nb) = _bigrams(a), _bigrams(b)
+    return na == nb and len(ga & gb) / max(1, (len(ga) * len(gb)) ** 0.5) >= 0.5
+
+
 def _street_level(d: dict, i: int) -> int:
     """0 other, 1 same number or street only, 2 same building, other unit, 3 same building, unit open, 4 same unit, 5 missing."""
     na, nb = d["number_a"][i], d["number_b"][i]
     if not na or not nb:
         return 5
     sa, sb = d["street_a"][i], d["street_b"][i]
-    ga, gb = {sa[k : k + 2] for k in range(len(sa) - 1)}, {sb[k : k + 2] for k in range(len(sb) - 1)}
-    alike = len(ga & gb) / max(1, (len(ga) * len(gb)) ** 0.5) >= 0.5 and re.findall(r"\d+", sa) == re.findall(r"\d+", sb)
+    alike = sa == sb or _streets_alike(sa, sb)
     open_ = lambda x, y: not x or not y or x == y
     alike = alike and open_(d["dir_a"][i], d["dir_b"][i]) and open_(d["type_a"][i], d["type_b"][i])
     if na != nb or not alike:
@@ -306,16 +336,20 @@ def _place_level(d: dict, i: int) -> int:
     return 1 if sa and sb and sa == sb else 0
 
 
-def _compare(batches: Iterator[pa.RecordBatch], telling: float, rare: float) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(i, 1000) for whole in batches for i in range(0, whole.num_rows, 1000)):
-        d = batch.to_pydict()
-        out: dict[str, list[int]] = {f: [] for f in FIELDS}
-        for i in range(batch.num_rows):
-            out["name"].append(_name_level(_variants(d["words_a"][i], telling), _variants(d["words_b"][i], telling), telling, rare))
-            pa_, pb = d["phone_a"][i], d["phone_b"][i]
-            out["phone"].append(2 if not pa_ or not pb else int(pa_ == pb))
-            out["address"].append(_street_level(d, i))
-            out["place"].append(_place_level(d, i))
+_COMPARED = ("words", "phone", "number", "dir", "street", "type", "unit", "zip", "city", "state")
+
+
+def _compare(batches: Iterator[pa.RecordBatch], spelt: dict[str, str], telling: float, rare: float) -> Iterator[pa.RecordBatch]:
+    names = _Names(spelt, telling)
+    for batch in (whole.slice(i, 4000) for whole in batches for i in range(0, whole.num_rows, 4000)):
+        d = {f"{f}_{s}": batch.column(f"{f}_{s}").to_pylist() for f in _COMPARED for s in "ab"}
+        n = range(batch.num_rows)
+        out = {
+            "name": [_name_level(names.variants(x), names.variants(y), telling, rare) for x, y in zip(d["words_a"], d["words_b"], strict=True)],
+            "phone": [2 if not x or not y else int(x == y) for x, y in zip(d["phone_a"], d["phone_b"], strict=True)],
+            "address": [_street_level(d, i) for i in n],
+            "place": [_place_level(d, i) for i in n],
+        }
         cols = [batch.column("id_a"), batch.column("id_b"), *[pa.array(out[f], pa.int32()) for f in FIELDS]]
         yield pa.RecordBatch.from_arrays(cols, ["id_a", "id_b", *FIELDS])
 
@@ -353,26 +387,29 @@ def estimate(patterns: list[tuple[tuple[int, ...], int]], rounds: int = 200) ->
     return share, m, u
 
 
-def link(left: DataFrame, left_cols: dict, right: DataFrame, right_cols: dict, accept: float = 0.5) -> DataFrame:
+def link(left: DataFrame, left_cols: dict, right: DataFrame, right_cols: dict, accept: float = 0.5, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
     """(left_id, right_id, confidence and the level of each field) of matching records.
 
     left_cols, right_cols: the columns id, names (a list), phone, address, zip, city, state; all but id and names may be
     missing. A pair is reported if its posterior is at least `accept` and its name or its telephone agrees: an address
     alone does not tell two tenants of a building apart. All such pairs of a left record are reported, as the same
     thing may be registered twice; but one without an agreeing name gives way to one with it. Fields that
-    are null, blank or placeholders count as missing. Rows with a null id are left out, rows with the same id are one
-    record each. Empty tables give no rows.
+    are null, blank or placeholders count as missing, and so do telephones shared by more than 0.05 % of the right-hand
+    records (and more than 50). Rows with a null id are left out, rows with the same id are one record each. Empty tables
+    give no rows. vocabulary: short forms, synonyms and words without meaning in the field of business at hand.
     """
     scratch = Scratch(left.sparkSession)
-    a, b = scratch.cut(_prepared(left, left_cols)), scratch.cut(_prepared(right, right_cols))
+    a, b = scratch.cut(_prepared(left, left_cols, vocabulary)), scratch.cut(_prepared(right, right_cols, vocabulary))
     total = max(1, b.count())
+    a, b = _without_shared_phones(a, b, total)
     df = scratch.cut(frequencies(b))
-    met = candidates(a, b, df, total)
-    side = lambda x, s: _weighted(x, df, total).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", "words", "phone", "number", "dir", "street", "type", "unit", "zip", "city", "state")])
+    met = candidates(a, b, df, total, vocabulary)
+    side = lambda x, s: _weighted(x, df, total).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *_COMPARED)])
     both = met.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b")
     kinds = f"id_a {dict(a.dtypes)['id']}, id_b {dict(b.dtypes)['id']}, " + ", ".join(f"{f} int" for f in FIELDS)
-    telling, rare = (float(np.log(1 + min(1 / x, total / 3))) for x in (STOP, ZONE))
-    levels = scratch.cut(both.mapInArrow(lambda it: _compare(it, telling, rare), kinds))
+    telling, rare = (float(np.log(1 + min(1 / x, total / 3))) for x in (COMMON, RARE))
+    spelt = vocabulary.spelt()
+    levels = scratch.cut(both.mapInArrow(lambda it: _compare(it, spelt, telling, rare), kinds))
     # At most one row per pattern of levels, a number fixed by the levels.
     patterns = [(tuple(r[f] for f in FIELDS), r["n"]) for r in levels.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).collect()]
     share, m, u = estimate(patterns)

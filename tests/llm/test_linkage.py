@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from conftest import rows
 
+from mergeloom.llm.catalogue import DENTAL
 from mergeloom.llm.linkage import FIELDS, LEVELS, _prepared, candidates, edits, estimate, link, name_score, respell
 
 LEFT = "id string, title string, phone string, address string, zip string, city string, state string, words string"
@@ -27,7 +28,7 @@ def tables(spark):
 
 def test_finds_the_planted_matches(spark):
     left, right, want = tables(spark)
-    found = link(left, {"id": "id", "names": ["title"]} | COLS, right, {"id": "npi", "names": ["name", "dba"]} | COLS)
+    found = link(left, {"id": "id", "names": ["title"]} | COLS, right, {"id": "npi", "names": ["name", "dba"]} | COLS, vocabulary=DENTAL)
     got = {(r.left_id, r.right_id) for r in found.collect()}
     assert len(got & want) >= 0.97 * len(want) and len(got - want) <= 0.03 * len(want)
     assert all(0.5 <= r.confidence <= 1 for r in found.collect())
@@ -38,7 +39,7 @@ def met(spark, firms, names):
     lc, rc = {"id": "id", "names": ["title"]} | COLS, {"id": "npi", "names": ["name", "dba"]} | COLS
     right = spark.createDataFrame([(f"r{i:05}", n, None, None, None, z, c, s, 1) for i, (n, z, c, s) in enumerate(firms)], RIGHT)
     left = spark.createDataFrame([(str(i), n, None, None, z, c, s, "") for i, (n, z, c, s) in enumerate(names)], LEFT)
-    pairs = candidates(_prepared(left, lc), _prepared(right, rc))
+    pairs = candidates(_prepared(left, lc, DENTAL), _prepared(right, rc, DENTAL), vocabulary=DENTAL)
     return {int(r.id_a) for r in pairs.filter("id_b = 'r00000'").collect()}
 
 
@@ -82,4 +83,5 @@ def test_names_and_edits():
     assert name_score(w("Kelnan", "dental"), w("Kelnan", "dental"), 4.6) == (1, 8)
     assert name_score(w("Kelnan", "dental"), w("Broxet", "dental"), 4.6)[0] < 0.12
     assert name_score([], [], 4.6) == (0, 0)
-    assert respell("dentstry") == "dental" and respell("aestheic") == "cosmetic" and respell("kelnan") is None
+    known = DENTAL.spelt()
+    assert respell("dentstry", known) == "dental" and respell("aestheic", known) == "cosmetic" and respell("kelnan", known) is None and respell("mental", {}) is None
