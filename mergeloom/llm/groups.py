@@ -5,24 +5,25 @@ a vertex joins the cluster whose head start less distance is greatest, so that c
 between them. After a fixed number of steps clusters contract to their centres, the edges between clusters form a
 smaller graph, and the same is done again until no edge is left. Assignments of all levels are then composed.
 
-The edges of a level are stored in buckets of their first end, together with a loop at every vertex. A step joins them
-to the state, which is partitioned in the same way, and takes the best offer per vertex: only offers that beat a
-vertex's own head start are shuffled, combined on the map side first. All steps of a level run as one job.
+Vertices are numbered once. The edges of a level are stored in buckets of their first end, together with a loop at every
+vertex. A step joins them to the state, which is partitioned in the same way, and takes the best offer per vertex: only
+offers that beat a vertex's own head start are shuffled, combined on the map side first. All steps of a level run as one
+job.
 """
 
 from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from mergeloom.session import Scratch, new_path
 
 #: Rate of the head starts: an edge runs between clusters with a probability of about 1-exp(-RATE).
-RATE = 0.4
+RATE = 0.1
 #: Steps for which clusters grow before they contract.
-STEPS = 4
+STEPS = 3
 #: Edges of one vertex that may lie in one bucket; those of a vertex with more are spread over branches.
 DEGREE = 20_000
 #: What marks names of branches and groups, which are no records.
@@ -52,14 +53,15 @@ def _head_start(v: Column, level: int) -> Column:
 
 
 class _Edges:
-    """Symmetric edges (u, v, w) in buckets of u, with a loop (u, u, 0) at every vertex."""
+    """Symmetric edges (u, v, w) in buckets of u, without repeats, with a loop (u, u, 0) at every vertex; left: number of edges."""
 
     def __init__(self, edges: DataFrame):
         self.spark, self.name, self.path = edges.sparkSession, f"level_edges_{uuid.uuid4().hex}", new_path(edges.sparkSession)
-        loops = edges.select("u").distinct().select("u", F.col("u").alias("v"), F.lit(0).alias("w"))
-        buckets = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions")))
-        both = edges.select("u", "v", F.lit(1).alias("w")).unionByName(loops).repartition(buckets, "u")
+        row = lambda v, w: F.struct("u", F.col(v).alias("v"), F.lit(w).alias("w"))
+        buckets, seen = max(1, int(self.spark.conf.get("spark.sql.shuffle.partitions"))), Observation()
+        both = edges.repartition(buckets, "u").select(F.explode(F.array(row("v", 1), row("u", 0))).alias("x")).select("x.*").distinct().observe(seen, F.sum("w").alias("left"))
         both.write.format("parquet").option("path", self.path).option("compression", "zstd").bucketBy(buckets, "u").sortBy("u").saveAsTable(self.name)
+        self.left = int(seen.get["left"] or 0)
 
     def read(self) -> DataFrame:
         return self.spark.table(self.name)
@@ -76,7 +78,8 @@ def _decompose(edges: _Edges, level: int) -> DataFrame:
     for _ in range(STEPS):
         offers = edges.read().join(state, "u").select("v", (F.col("k") - F.col("w")).alias("k"), "c", "w")
         offers = offers.filter((F.col("w") == 0) | (F.col("k") > _head_start(F.col("v"), level)))
-        state = offers.groupBy("v").agg(F.max(F.struct("k", "c")).alias("b")).select(F.col("v").alias("u"), "b.k", "b.c")
+        # Equal offers, as rare as equal random numbers, are decided by either of them.
+        state = offers.groupBy("v").agg(F.max("k").alias("k"), F.max_by("c", "k").alias("c")).withColumnRenamed("v", "u")
     return state.select("u", "c")
 
 
@@ -92,23 +95,24 @@ def group_records(links: DataFrame, u: str, v: str, groups: DataFrame | None = N
     if groups is not None:
         hub = F.concat(F.lit(_MARK), F.col(group).cast("string"))
         one = one.unionByName(groups.select(hub.alias("u"), F.col(record).cast("string").alias("v")).filter("u is not null and v is not null"))
-    symmetric, left = scratch.cut_counting(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), F.lit(True))
-    edges, maps = _Edges(spread_hubs(symmetric)), []
-    while left:
+    symmetric = scratch.cut(one.unionByName(one.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    named = scratch.cut(spread_hubs(symmetric))
+    ids = scratch.cut(named.select(F.col("u").alias("name")).distinct().withColumn("id", F.monotonically_increasing_id()))
+    numbered = named.join(ids.toDF("u", "i"), "u").join(ids.toDF("v", "j"), "v").select(F.col("i").alias("u"), F.col("j").alias("v"))
+    edges, maps = _Edges(numbered), []
+    while edges.left:
         centre = scratch.cut(_decompose(edges, len(maps)))
         maps.append(centre)
         across = edges.read().filter("w = 1").join(centre.withColumnRenamed("c", "cu"), "u").select("cu", "v").join(centre.toDF("v", "cv"), "v")
-        across = across.filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")).distinct()
-        smaller, left = scratch.cut_counting(across, F.lit(True))
+        smaller = _Edges(across.filter("cu <> cv").select(F.col("cu").alias("u"), F.col("cv").alias("v")))
         edges.drop()
-        if left:
-            edges = _Edges(smaller)
+        edges = smaller
+    edges.drop()
     if not maps:
-        edges.drop()
         return links.sparkSession.createDataFrame([], "group string, record string")
     whole = maps.pop()
     while maps:
         whole = scratch.cut(maps.pop().join(whole.toDF("c", "top"), "c", "left").select("u", F.coalesce("top", "c").alias("c")))
-    whole = whole.filter(~F.col("u").startswith(_MARK))
-    least = whole.groupBy("c").agg(F.min("u").alias("group"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    return whole.join(least, "c").select("group", F.col("u").alias("record"))
+    whole = whole.join(ids.toDF("name", "u"), "u").select("name", "c").filter(~F.col("name").startswith(_MARK))
+    least = whole.groupBy("c").agg(F.min("name").alias("group"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    return whole.join(least, "c").select("group", F.col("name").alias("record"))
