@@ -28,8 +28,9 @@ from mergeloom.session import Scratch
 RARE, COMMON = 0.0005, 0.01
 #: Number of right-hand names up to which a word is rare however few names there are.
 RARE_LEAST = 50
-#: Name score that a pair must be able to reach to meet by its words.
-REACH = 0.35
+#: Name score that a pair must be able to reach to meet by its words in a common place of each kind. A state says little;
+#: names that agree less are compared there only if a telephone or house number brings them together.
+REACH = {"zip": 0.35, "city": 0.35, "state": 0.45}
 #: Ratio of the bounds of the classes into which names fall by the weight of all their words.
 CLASS = 1.5
 #: Telephones that more right-hand records have than this share of them, and more than this number, belong to no one place.
@@ -107,12 +108,16 @@ def frequencies(side: DataFrame) -> DataFrame:
     return side.select("id", F.explode(F.array_distinct(F.flatten("names"))).alias("t")).groupBy("t").agg(F.count(F.lit(1)).alias("df"))
 
 
-def candidates(a: DataFrame, b: DataFrame, df: DataFrame | None = None, total: int | None = None, vocabulary: Vocabulary = Vocabulary()) -> DataFrame:  # noqa: B008
-    """(id_a, id_b): pairs of prepared records that have a blocking key in common. df, total: word frequencies and size of b."""
+def candidates(a: DataFrame, b: DataFrame, df: DataFrame | None = None, total: int | None = None, plain: DataFrame | None = None) -> DataFrame:
+    """(id_a, id_b): pairs of prepared records that have a blocking key in common.
+
+    df, total: word frequencies and size of b; plain: what misspelt words stand for.
+    """
     df, total = frequencies(b) if df is None else df, max(1, b.count()) if total is None else total
     scratch = Scratch(a.sparkSession)
+    plain = _respelt([a, b], df, total, Vocabulary()) if plain is None else plain
     met = split_join(_keys(a).withColumnRenamed("id", "id_a"), scratch.cut(_keys(b).withColumnRenamed("id", "id_b")), "key")
-    return met.select("id_a", "id_b").unionByName(_by_words(a, b, df, total, vocabulary, scratch)).distinct()
+    return met.select("id_a", "id_b").unionByName(_by_words(a, b, df, total, plain, scratch)).distinct()
 
 
 def _forms(t: Column) -> Column:
@@ -127,18 +132,27 @@ def _weight(total: int) -> Column:
     return F.least(F.log(1 + F.lit(total) / (1 + F.coalesce("df", F.lit(0)))), F.log(F.lit(1 + 1 / RARE)))
 
 
-def _placed_words(side: DataFrame, df: DataFrame, total: int, vocabulary: Vocabulary) -> DataFrame:
+def _respelt(sides: list[DataFrame], df: DataFrame, total: int, vocabulary: Vocabulary) -> DataFrame:
+    """(t, plain): the words of names that misspell a known one, and what that stands for; words common themselves stay."""
+    spelt = vocabulary.spelt()
+    words = sides[0].select(F.explode(F.flatten("names")).alias("t")).unionByName(sides[1].select(F.explode(F.flatten("names")).alias("t"))).distinct()
+    if not spelt:
+        return words.filter("false").withColumn("plain", F.col("t"))
+    odd = words.join(df, "t", "left").filter((F.coalesce("df", F.lit(0)) <= max(COMMON * total, 3)) & (F.length("t") > 4))
+    # A swap of neighbours counts twice for Levenshtein's distance, so the first test only drops what the second would.
+    most = F.when(F.length("t") < 8, 1).otherwise(2)
+    near = F.exists(F.array(*[F.lit(k) for k in spelt]), lambda k: (F.abs(F.length(k) - F.length("t")) <= most) & (F.levenshtein(F.col("t"), k) <= 2 * most))
+    return odd.filter(near).select("t", F.udf(lambda w: respell(w, spelt), "string")("t").alias("plain")).filter("plain is not null and plain <> t")
+
+
+def _placed_words(side: DataFrame, df: DataFrame, total: int, plain: DataFrame) -> DataFrame:
     """(id, v, zip, city, state, t, df, w, before, all, rest, ws): the words of every name, rarest first.
 
     before, rest: weight of the words before and after it, all: of all words, ws: weights of all. Misspelt words of the
     vocabulary stand for what they misspell.
     """
     flat = side.select("id", "zip", "city", "state", F.posexplode("names").alias("v", "n")).select("id", "zip", "city", "state", "v", F.explode("n").alias("t"))
-    spelt = vocabulary.spelt()
-    if spelt:
-        odd = flat.select("t").distinct().join(df, "t", "left").filter((F.coalesce("df", F.lit(0)) <= max(COMMON * total, 3)) & (F.length("t") > 4))
-        odd = odd.select("t", F.udf(lambda w: respell(w, spelt), "string")("t").alias("plain")).filter("plain is not null and plain <> t")
-        flat = flat.join(odd, "t", "left").withColumn("t", F.coalesce("plain", "t")).drop("plain").filter("t <> ''").distinct()
+    flat = flat.join(plain, "t", "left").withColumn("t", F.coalesce("plain", "t")).drop("plain").filter("t <> ''").distinct()
     flat = flat.join(df, "t", "left").withColumn("w", _weight(total))
     name = Window.partitionBy("id", "v")
     order = name.orderBy(F.desc("w"), "t").rowsBetween(Window.unboundedPreceding, -1)
@@ -146,7 +160,7 @@ def _placed_words(side: DataFrame, df: DataFrame, total: int, vocabulary: Vocabu
     return out.withColumn("rest", F.col("all") - F.col("before") - F.col("w"))
 
 
-def _by_words(a: DataFrame, b: DataFrame, df: DataFrame, total: int, vocabulary: Vocabulary, scratch: Scratch) -> DataFrame:
+def _by_words(a: DataFrame, b: DataFrame, df: DataFrame, total: int, plain: DataFrame, scratch: Scratch) -> DataFrame:
     """(id_a, id_b) of records of one ZIP, city or state whose names share a word up to one typing error and may reach the least score.
 
     Of the words that two names share, take the heaviest: it and what comes after it in both names bound the weight they
@@ -155,16 +169,16 @@ def _by_words(a: DataFrame, b: DataFrame, df: DataFrame, total: int, vocabulary:
     both names' weights, so that names too long to be alike by a common word never meet. Words alike up to a typing error
     are found in the vocabularies. Keys of many right-hand records are split.
     """
-    wa, wb = (scratch.cut(_placed_words(x, df, total, vocabulary)) for x in (a, b))
+    wa, wb = (scratch.cut(_placed_words(x, df, total, plain)) for x in (a, b))
     voc = lambda x, s: x.select("t").distinct().filter(F.length("t") >= 5).withColumn("f", F.explode(_forms(F.col("t")))).withColumnRenamed("t", s)
     alike = scratch.cut(voc(wa, "t").join(voc(wb, "x"), "f").filter("t <> x").select("t", "x").distinct())
     rare = F.coalesce("df", F.lit(0)) <= max(RARE * total, RARE_LEAST)
     s, whole, slack = F.col("w") + F.col("rest"), F.col("all"), 1e-9
     class_ = lambda x: F.floor(F.log(F.greatest(x, F.lit(1e-3))) / float(np.log(CLASS))).cast("int")
 
-    def same(words: DataFrame, right: bool) -> DataFrame:
-        words = words.filter(s >= REACH / (2 - REACH) * whole - slack)
-        own, low, high = class_(whole), class_(REACH / (2 - REACH) * whole - slack), class_(2 * s / REACH - whole + slack)
+    def same(words: DataFrame, right: bool, reach: float) -> DataFrame:
+        words = words.filter(s >= reach / (2 - reach) * whole - slack)
+        own, low, high = class_(whole), class_(reach / (2 - reach) * whole - slack), class_(2 * s / reach - whole + slack)
         other = F.explode(F.when(rare, F.array(F.lit(0))).otherwise(F.sequence(low, F.greatest(low, high))))
         words = words.withColumn("own", F.when(rare, F.lit(0)).otherwise(own)).withColumn("other", other)
         return words.withColumn("kind", F.concat_ws(":", F.lit("same"), *(["other", "own"] if right else ["own", "other"])))
@@ -173,20 +187,22 @@ def _by_words(a: DataFrame, b: DataFrame, df: DataFrame, total: int, vocabulary:
     meant = wb.select(F.col("t").alias("x"), F.col("w").alias("w_x")).distinct()
     other_a = wa.join(alike, "t").join(meant, "x").withColumn("m", F.least("w", "w_x"))
     lighter = F.aggregate(F.filter("ws", lambda y: y <= F.col("m")), F.lit(0.0), lambda p, y: p + y) - F.when(F.col("w") <= F.col("m"), F.col("w")).otherwise(0.0)
-    other_a = other_a.withColumn("all", whole - F.col("w") + F.col("m")).withColumn("rest", lighter).withColumn("w", F.col("m")).withColumn("t", F.col("x"))
-    other_a = other_a.filter(s >= REACH / (2 - REACH) * whole - slack).withColumn("kind", F.lit("alike"))
-    other_b = wb.join(alike.select(F.col("x").alias("t")).distinct(), "t", "left_semi").filter(s >= REACH / (2 - REACH) * whole - slack).withColumn("kind", F.lit("alike"))
-
-    def keyed(words: DataFrame, side: str) -> DataFrame:
-        places = F.explode(F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.xxhash64(F.lit(p), p, "kind", "t")) for p in ("zip", "city", "state")]))).alias("key")
-        return words.select(F.col("id").alias(f"id_{side}"), "w", whole.alias(f"all_{side}"), F.col("rest").alias(f"rest_{side}"), "kind", places)
-
-    cols = ["id", "zip", "city", "state", "t", "w", "all", "rest", "kind"]
-    ka = keyed(same(wa, False).select(*cols).unionByName(other_a.select(*cols)), "a")
-    kb = scratch.cut(keyed(same(wb, True).select(*cols).unionByName(other_b.select(*cols)), "b").withColumnRenamed("w", "w_b").drop("kind"))
-    m = F.least("w", "w_b")
+    other_a = scratch.cut(other_a.withColumn("all", whole - F.col("w") + F.col("m")).withColumn("rest", lighter).withColumn("w", F.col("m")).withColumn("t", F.col("x")).withColumn("kind", F.lit("alike")))
+    other_b = wb.join(alike.select(F.col("x").alias("t")).distinct(), "t", "left_semi").withColumn("kind", F.lit("alike"))
+
+    def keyed(words: DataFrame, alike_words: DataFrame, side: str) -> DataFrame:
+        out = None
+        for reach in sorted(set(REACH.values())):
+            some = same(words, side == "b", reach).unionByName(alike_words.filter(s >= reach / (2 - reach) * whole - slack), allowMissingColumns=True)
+            places = F.explode(F.array_compact(F.array(*[F.when(F.col(p).isNotNull(), F.xxhash64(F.lit(p), p, "kind", "t")) for p in REACH if REACH[p] == reach]))).alias("key")
+            some = some.select(F.col("id").alias(f"id_{side}"), F.col("w").alias(f"w_{side}"), whole.alias(f"all_{side}"), F.col("rest").alias(f"rest_{side}"), "kind", F.lit(reach).alias("reach"), places)
+            out = some if out is None else out.unionByName(some)
+        return out
+
+    ka, kb = keyed(wa, other_a, "a"), scratch.cut(keyed(wb, other_b, "b").drop("kind", "reach"))
+    m = F.least("w_a", "w_b")
     most = m + F.least("rest_a", "rest_b")
-    reaches = 2 * most >= REACH * (F.col("all_a") + F.col("all_b") - F.when(F.col("kind") == "alike", F.col("w_b") - m).otherwise(0.0)) - slack
+    reaches = 2 * most >= F.col("reach") * (F.col("all_a") + F.col("all_b") - F.when(F.col("kind") == "alike", F.col("w_b") - m).otherwise(0.0)) - slack
     return split_join(ka, kb, "key").filter(reaches).select("id_a", "id_b")
 
 
@@ -197,11 +213,12 @@ def _all(parts: tuple[Column, ...]) -> Column:
     return ok
 
 
-def _weighted(side: DataFrame, df: DataFrame, total: int) -> DataFrame:
-    """names as one text, 'variant:word:weight|...': rarer words weigh more, up to a cap."""
-    flat = side.select("id", F.posexplode("names").alias("v", "n")).select("id", "v", F.explode("n").alias("t")).join(df, "t", "left")
-    word = F.concat_ws(":", F.col("v").cast("string"), "t", F.round(_weight(total), 4).cast("string"))
-    lists = flat.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(word)), "|").alias("words"))
+def _weighted(side: DataFrame, df: DataFrame, total: int, plain: DataFrame) -> DataFrame:
+    """names as one text, 'variant:word:weight|...': rarer words weigh more, up to a cap, known words misspelt as little as 1."""
+    flat = side.select("id", F.posexplode("names").alias("v", "n")).select("id", "v", F.explode("n").alias("t")).join(df, "t", "left").join(plain, "t", "left")
+    weight = F.when(F.col("plain").isNull(), F.round(_weight(total), 4)).otherwise(1.0)
+    word = F.concat_ws(":", F.col("v").cast("string"), F.coalesce("plain", "t"), weight.cast("string"))
+    lists = flat.filter("coalesce(plain, t) <> ''").groupBy("id").agg(F.array_join(F.array_sort(F.collect_set(word)), "|").alias("words"))
     return side.drop("names").join(lists, "id", "left")
 
 
@@ -268,23 +285,14 @@ def name_score(a: list[tuple[str, float]], b: list[tuple[str, float]], telling:
     return (score / 3 if alone and any(w >= telling for w in free.values()) else score), strongest
 
 
-class _Names:
-    """Names as `name_score` takes them, from their texts; texts and words that come again are read once."""
-
-    def __init__(self, spelt: dict[str, str], telling: float):
-        self.telling, self.respelt = telling, lru_cache(1 << 16)(lambda w: respell(w, spelt))
-        self.variants = lru_cache(1 << 15)(self._variants)
-
-    def _variants(self, words: str | None) -> list[list[tuple[str, float]]]:
-        by: dict[str, dict[str, float]] = {}
-        for x in words.split("|") if words else ():
-            v, t, weight = x.split(":")
-            w = float(weight)
-            if w >= self.telling and len(t) > 4 and (plain := self.respelt(t)) is not None:
-                t, w = plain, 1.0
-            if t:
-                by.setdefault(v, {}).setdefault(t, w)
-        return [list(n.items()) for n in by.values()]
+@lru_cache(1 << 15)
+def _variants(words: str | None) -> list[list[tuple[str, float]]]:
+    """Names as `name_score` takes them, from their text; a text that comes again is read once."""
+    by: dict[str, dict[str, float]] = {}
+    for x in words.split("|") if words else ():
+        v, t, w = x.split(":")
+        by.setdefault(v, {}).setdefault(t, float(w))
+    return [list(n.items()) for n in by.values()]
 
 
 _NAME_STEPS = (0.12, 0.35, 0.6, 0.8, 0.93)
@@ -339,13 +347,12 @@ def _place_level(d: dict, i: int) -> int:
 _COMPARED = ("words", "phone", "number", "dir", "street", "type", "unit", "zip", "city", "state")
 
 
-def _compare(batches: Iterator[pa.RecordBatch], spelt: dict[str, str], telling: float, rare: float) -> Iterator[pa.RecordBatch]:
-    names = _Names(spelt, telling)
+def _compare(batches: Iterator[pa.RecordBatch], telling: float, rare: float) -> Iterator[pa.RecordBatch]:
     for batch in (whole.slice(i, 4000) for whole in batches for i in range(0, whole.num_rows, 4000)):
         d = {f"{f}_{s}": batch.column(f"{f}_{s}").to_pylist() for f in _COMPARED for s in "ab"}
         n = range(batch.num_rows)
         out = {
-            "name": [_name_level(names.variants(x), names.variants(y), telling, rare) for x, y in zip(d["words_a"], d["words_b"], strict=True)],
+            "name": [_name_level(_variants(x), _variants(y), telling, rare) for x, y in zip(d["words_a"], d["words_b"], strict=True)],
             "phone": [2 if not x or not y else int(x == y) for x, y in zip(d["phone_a"], d["phone_b"], strict=True)],
             "address": [_street_level(d, i) for i in n],
             "place": [_place_level(d, i) for i in n],
@@ -403,13 +410,13 @@ def link(left: DataFrame, left_cols: dict, right: DataFrame, right_cols: dict, a
     total = max(1, b.count())
     a, b = _without_shared_phones(a, b, total)
     df = scratch.cut(frequencies(b))
-    met = candidates(a, b, df, total, vocabulary)
-    side = lambda x, s: _weighted(x, df, total).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *_COMPARED)])
+    plain = scratch.cut(_respelt([a, b], df, total, vocabulary))
+    met = candidates(a, b, df, total, plain)
+    side = lambda x, s: _weighted(x, df, total, plain).select(*[F.col(c).alias(f"{c}_{s}") for c in ("id", *_COMPARED)])
     both = met.join(side(a, "a"), "id_a").join(side(b, "b"), "id_b")
     kinds = f"id_a {dict(a.dtypes)['id']}, id_b {dict(b.dtypes)['id']}, " + ", ".join(f"{f} int" for f in FIELDS)
     telling, rare = (float(np.log(1 + min(1 / x, total / 3))) for x in (COMMON, RARE))
-    spelt = vocabulary.spelt()
-    levels = scratch.cut(both.mapInArrow(lambda it: _compare(it, spelt, telling, rare), kinds))
+    levels = scratch.cut(both.mapInArrow(lambda it: _compare(it, telling, rare), kinds))
     # At most one row per pattern of levels, a number fixed by the levels.
     patterns = [(tuple(r[f] for f in FIELDS), r["n"]) for r in levels.groupBy(*FIELDS).agg(F.count(F.lit(1)).alias("n")).collect()]
     share, m, u = estimate(patterns)
