@@ -74,3 +74,29 @@ def host(url: Column) -> Column:
 def debug_line(cols: list[str], most: int = 2000) -> Column:
     """All non-null columns as 'name: value | name: value'."""
     return F.substring(F.concat_ws(" | ", *[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}: "), F.col(c).cast("string"))) for c in cols]), 1, most)
+
+
+def is_person(c: Column) -> Column:
+    """Whether a name is a person's: it has a doctor's title and no word of a firm."""
+    n = collapse(c)
+    titled = n.rlike(r"(DDS|DMD|dds|dmd)\.?$|^(Dr|DR|dr)\.? ")
+    return titled & ~F.lower(n).rlike("dental|dentistry|care|group|clinic|center|studio|associates|smile|ortho|&")
+
+
+def surname(c: Column) -> Column:
+    """The last word of a name without titles."""
+    bare = F.trim(F.regexp_replace(F.regexp_replace(collapse(c), r"^(Dr|DR|dr)\.? ", ""), r"[, ]+(DDS|DMD|dds|dmd|Jr|JR|MD)\.?$", ""))
+    return F.nullif(F.regexp_extract(bare, "([A-Za-z'-]+)$", 1), F.lit(""))
+
+
+def with_note(c: Column, note: Column, marker: str) -> Column:
+    """The text with a note at its end, unless it holds the note's marker already."""
+    text = F.coalesce(c, F.lit(""))
+    return F.when(F.contains(text, F.lit(marker)), text).otherwise(F.concat(text, note))
+
+
+def http_url(c: Column) -> Column:
+    """A trimmed http(s) address with a host; a missing scheme before 'www.' is put in, anything else is null."""
+    t = F.trim(c)
+    t = F.when(F.lower(t).startswith("www."), F.concat(F.lit("https://"), t)).otherwise(t)
+    return F.when(t.rlike(r"^(?i)https?://[a-z0-9-]+(\.[a-z0-9-]+)+([/:?#].*)?$"), t)

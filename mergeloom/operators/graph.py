@@ -56,3 +56,18 @@ def propagate(df: DataFrame, key: Column, label: str, order: str, unset: list[st
     first = have.groupBy("__k").agg(F.min_by(label, order).alias("__label"))
     open_ = F.col(label).isNull() | F.col(label).isin(unset)
     return df.withColumn("__k", k).join(first, "__k", "left").withColumn(label, F.when(open_, F.coalesce("__label", label)).otherwise(F.col(label))).drop("__k", "__label")
+
+
+def cluster_summaries(df: DataFrame, keys: dict[str, Column], member: str, place: str, spot: str, label: Column, flag: Column, least: int, most: int) -> DataFrame:
+    """(kind, cluster_key, members, places, spots, flagged, classes) of every key of each kind with `least` to `most` members.
+
+    keys: kind -> key of a row, null for none. Members, places and spots are counted once each; flagged counts members for
+    which the flag holds; classes is the histogram of labels as 'label:n,..'. Each row is spread to its kinds once, and
+    counts are combined before the shuffle. Members must be unique in df.
+    """
+    pairs = F.array(*[F.struct(F.lit(k).alias("kind"), F.nullif(F.trim(c), F.lit("")).alias("key")) for k, c in keys.items()])
+    r = df.select(F.explode(pairs).alias("k"), F.col(member).alias("m"), F.col(place).alias("p"), F.col(spot).alias("s"), label.alias("c"), F.coalesce(flag, F.lit(False)).alias("f"))
+    r = r.select(F.col("k.kind").alias("kind"), F.col("k.key").alias("cluster_key"), "m", "p", "s", "c", "f").filter("cluster_key is not null")
+    classes = r.groupBy("kind", "cluster_key", "c").agg(F.count(F.lit(1)).alias("n")).groupBy("kind", "cluster_key").agg(F.array_join(F.array_sort(F.collect_list(F.concat_ws(":", "c", F.col("n").cast("string")))), ",").alias("classes"))
+    g = r.groupBy("kind", "cluster_key").agg(F.count(F.lit(1)).alias("members"), F.countDistinct("p").alias("places"), F.countDistinct("s").alias("spots"), F.count_if("f").alias("flagged"))
+    return g.filter(F.col("members").between(least, most)).join(classes, ["kind", "cluster_key"])

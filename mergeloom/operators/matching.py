@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,6 +29,72 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], left_text:
     return best.select(F.col("__lid").alias(left_id), F.col("b.__rid").alias(right_id), F.col("b.score").alias("score"))
 
 
+def ranked_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, tests: list[tuple[str, list[tuple[str, str]], float, int]], agree: Column | None = None) -> DataFrame:
+    """(left_id, right_id, how, score): for each left record the best right record of its block by several tests.
+
+    tests: (name, pairs of left and right columns of which the better score counts, least score, tier); a lower tier goes
+    first whatever its score, then the greater score, then the earlier test, then the least right id. agree: a condition on
+    the pair, with the sides as `l` and `r`. Null blocks and texts match nothing. Pairs are formed by the block only, and
+    only those that may pass some test are scored.
+    """
+    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{b}") == F.col(f"r.{b}") for b in block])
+    met = met if agree is None else met.filter(agree)
+    pairs = [(x, y, least) for _, columns, least, _ in tests for x, y in columns]
+    may = [F.coalesce(may_reach(F.col(f"l.{x}"), F.col(f"r.{y}"), least), F.lit(False)) for x, y, least in pairs]
+    hope = may[0]
+    for m in may[1:]:
+        hope = hope | m
+    met = met.filter(hope).select(F.col(f"l.{left_id}").alias("__l"), F.col(f"r.{right_id}").alias("__r"), *[ratio(F.col(f"l.{x}"), F.col(f"r.{y}")).alias(f"__s{i}") for i, (x, y, _) in enumerate(pairs)])
+    hits, i = [], 0
+    for k, (name, columns, least, tier) in enumerate(tests):
+        scores = [F.coalesce(F.col(f"__s{i + j}"), F.lit(-1.0)) for j in range(len(columns))]
+        i += len(columns)
+        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
+        hits.append(F.when(best >= least, F.struct(F.lit(tier).alias("tier"), (-best).alias("neg"), F.lit(k).alias("test"), "__r", F.lit(name).alias("how"))))
+    top = met.select("__l", F.array_min(F.array_compact(F.array(*hits))).alias("b")).filter("b is not null").groupBy("__l").agg(F.min("b").alias("b"))
+    return top.select(F.col("__l").alias(left_id), F.col("b.__r").alias(right_id), "b.how", F.round(-F.col("b.neg"), 4).alias("score"))
+
+
+def similar_texts(left: DataFrame, right: DataFrame, block: str, left_text: str, right_text: str, left_id: str, right_id: str, least: float) -> DataFrame:
+    """(left_id, right_id, score) of all pairs of a block whose texts' ratio is at least `least`, without meeting by the block alone.
+
+    A ratio bounds the edits; a text cut into more pieces than there may be edits keeps one of them whole. Right texts
+    are found under their pieces, left ones under all runs that may be such a piece: same place up to the number of
+    edits. Made for high ratios, where pieces are long. Null blocks and texts match nothing; repeated rows give one pair.
+    """
+    share = (100 - least) / 100
+    n = F.col("n")
+    # Longest partner of a text of length n, and the edits that a pair with it may have.
+    most = F.floor(n * (1 + share) / (1 - share) + 1e-9).cast("int")
+    edits = F.floor(share * (n + most) + 1e-9).cast("int")
+    start = lambda m, k, i: F.floor(m * i / (k + 1)).cast("int")
+    l = left.select(F.col(block).alias("b"), F.col(left_text).alias("lt"), F.col(left_id).alias("__l")).filter("b is not null and lt <> ''").distinct()  # noqa: E741
+    r = right.select(F.col(block).alias("b"), F.col(right_text).alias("rt"), F.col(right_id).alias("__r")).filter("b is not null and rt <> ''").distinct()
+    r = r.withColumn("n", F.length("rt")).withColumn("k", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
+    r = r.withColumn("at", start(n, F.col("k"), F.col("i"))).withColumn("len", start(n, F.col("k"), F.col("i") + 1) - F.col("at"))
+    # Texts no longer than their number of pieces have empty ones, under which they meet by length alone.
+    r = r.withColumn("piece", F.substring(F.col("rt"), F.col("at") + 1, F.col("len"))).select("b", F.col("n").alias("rn"), "i", "piece", "rt", "__r")
+    lengths = F.sequence(F.ceil(F.col("n") * (1 - share) / (1 + share) - 1e-9).cast("int"), most)
+    l = l.withColumn("n", F.length("lt")).withColumn("rn", F.explode(lengths)).filter("rn > 0")  # noqa: E741
+    partner = F.floor(F.col("rn") * (1 + share) / (1 - share) + 1e-9).cast("int")
+    l = l.withColumn("k", F.floor(share * (F.col("rn") + partner) + 1e-9).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))  # noqa: E741
+    l = l.withColumn("at", start(F.col("rn"), F.col("k"), F.col("i"))).withColumn("len", start(F.col("rn"), F.col("k"), F.col("i") + 1) - F.col("at"))  # noqa: E741
+    room = F.floor(share * (F.col("n") + F.col("rn")) + 1e-9).cast("int")
+    places = F.sequence(F.greatest(F.col("at") - room, F.lit(0)), F.greatest(F.least(F.col("at") + room, F.col("n") - F.col("len")), F.greatest(F.col("at") - room, F.lit(0))))
+    runs = F.array_distinct(F.transform(places, lambda p: F.substring(F.col("lt"), p + 1, F.col("len"))))
+    l = l.withColumn("piece", F.explode(runs)).select("b", "rn", "i", "piece", "lt", "__l")  # noqa: E741
+    met = l.join(r, ["b", "rn", "i", "piece"]).select("__l", "__r", "lt", "rt").distinct()
+    met = met.filter(may_reach(F.col("lt"), F.col("rt"), least)).withColumn("score", ratio("lt", "rt")).filter(F.col("score") >= least)
+    return met.groupBy(F.col("__l").alias(left_id), F.col("__r").alias(right_id)).agg(F.max("score").alias("score"))
+
+
+def containing_texts(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Distinct (text, part) where the text contains the part; blank and null values match nothing."""
+    p = parts.select(F.col(part).alias("p")).filter(F.length("p") > 0).distinct()
+    t = texts.select(F.col(text).alias("__low")).filter("__low is not null").distinct()
+    return _by_trigram(t, p).select(F.col("__low").alias(text), F.col("p").alias(part))
+
+
 #: Patterns that a plan holds as literals.
 MOST_LITERALS = 5000
 
@@ -52,28 +120,39 @@ def _pieces(c: Column, n: int) -> Column:
     return F.when(F.length(c) >= n, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - n + 1), lambda i: F.substring(c, i, F.lit(n))))).otherwise(F.array().cast("array<string>"))
 
 
-def _longest_by_trigram(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
-    p, low = F.col("p"), F.col("__low")
+def _by_trigram(texts: DataFrame, words: DataFrame) -> DataFrame:
+    """(__low, p) of distinct texts and the patterns they contain; a pattern is found under its rarest trigram."""
     # Patterns shorter than three characters are their own piece.
-    own = words.select("p", F.explode(F.when(F.length("p") < 3, F.array("p")).otherwise(_pieces(p, 3))).alias("g"))
+    own = words.select("p", F.explode(F.when(F.length("p") < 3, F.array("p")).otherwise(_pieces(F.col("p"), 3))).alias("g"))
     rare = own.join(own.groupBy("g").agg(F.count(F.lit(1)).alias("n")), "g").groupBy("p").agg(F.min(F.struct("n", "g")).alias("x")).select("p", "x.g")
-    pieces = F.concat(*[_pieces(low, n) for n in (1, 2, 3)])
-    met = texts.select("__low").filter("__low is not null").distinct().withColumn("g", F.explode(pieces)).join(rare, "g").filter(F.contains(low, p))
+    pieces = F.concat(*[_pieces(F.col("__low"), n) for n in (1, 2, 3)])
+    return texts.withColumn("g", F.explode(pieces)).join(rare, "g").filter(F.contains(F.col("__low"), F.col("p"))).select("__low", "p")
+
+
+def _longest_by_trigram(texts: DataFrame, words: DataFrame, key: str) -> DataFrame:
+    met = _by_trigram(texts.select("__low").filter("__low is not null").distinct(), words)
     best = met.groupBy("__low").agg(F.min(F.struct((-F.length("p")).alias("n"), "p")).alias("b"))
     return texts.join(best, "__low", "left").select(key, F.col("b.p").alias("pattern"))
 
 
-def band_pairs(df: DataFrame, block: list[str], date: str, days: int, key: str) -> DataFrame:
-    """(key_a, key_b), a < b, of rows of one block whose dates are at most `days` apart.
+def band_pairs(df: DataFrame, block: list[str], date: str, days: int, key: str, carry: list[str] | None = None, hope: Callable[[Callable, Callable], Column] | None = None) -> DataFrame:
+    """(key_a, key_b), a < b, of rows of one block whose dates are at most `days` apart, with columns `carry` of both.
 
     Dates fall into windows of `days`; a row meets its own window and the next, so a block is never crossed as a whole.
+    hope: a further condition on the pair, from two functions that give a column of either side.
     """
-    rows = df.filter(F.col(date).isNotNull()).select(*block, F.col(key).alias("k"), F.col(date).cast("date").alias("d"))
-    rows = rows.withColumn("w", F.floor(F.unix_date("d") / days).cast("int"))
-    a = rows.select(*block, F.col("k").alias("ka"), F.col("d").alias("da"), F.col("w").alias("wa"), F.explode(F.array("w", F.col("w") + 1)).alias("w"))
-    b = rows.withColumnsRenamed({"k": "kb", "d": "db"})
-    near = a.join(b, [*block, "w"]).filter((F.abs(F.datediff("da", "db")) <= days) & ((F.col("wa") < F.col("w")) | (F.col("ka") < F.col("kb"))) & (F.col("ka") != F.col("kb")))
-    return near.select(F.least("ka", "kb").alias(f"{key}_a"), F.greatest("ka", "kb").alias(f"{key}_b")).distinct()
+    carry = carry or []
+    rows = df.filter(F.col(date).isNotNull()).select(*block, F.struct(F.col(key).alias("k"), F.col(date).cast("date").alias("d"), *carry).alias("x"))
+    rows = rows.withColumn("w", F.floor(F.unix_date("x.d") / days).cast("int"))
+    a = rows.select(*block, F.col("x").alias("xa"), F.col("w").alias("wa"), F.explode(F.array("w", F.col("w") + 1)).alias("w"))
+    b = rows.withColumnRenamed("x", "xb")
+    a_, b_ = F.col("xa"), F.col("xb")
+    near = a.join(b, [*block, "w"]).filter((F.abs(F.datediff("xa.d", "xb.d")) <= days) & ((F.col("wa") < F.col("w")) | (a_["k"] < b_["k"])) & (a_["k"] != b_["k"]))
+    if hope is not None:
+        near = near.filter(hope(lambda c: a_[c], lambda c: b_[c]))
+    less = a_["k"] < b_["k"]
+    lo, hi = F.when(less, a_).otherwise(b_), F.when(less, b_).otherwise(a_)
+    return near.select(lo.alias("lo"), hi.alias("hi")).select(F.col("lo.k").alias(f"{key}_a"), F.col("hi.k").alias(f"{key}_b"), *[F.col(f"{s}.{c}").alias(f"{c}_{t}") for s, t in (("lo", "a"), ("hi", "b")) for c in carry]).distinct()
 
 
 def latest(df: DataFrame, by: list[str], order: list[Column]) -> DataFrame:

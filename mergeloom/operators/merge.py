@@ -11,18 +11,20 @@ def first_known(c: str, order: Column) -> Column:
     return F.min_by(F.col(c), F.when(F.col(c).isNotNull(), order))
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str, guarded: dict[str, list[str]] | None = None) -> DataFrame:
+def upsert(old: DataFrame, new: DataFrame, key: str | list[str], guarded: dict[str, list[str]] | None = None) -> DataFrame:
     """Old rows with new values where these are not null, and the rows only new has, over old's columns.
 
-    guarded: columns that keep an old value unless it is null or one of the given ones. New's keys must be unique;
-    columns that new lacks stay as they are, columns that old lacks are dropped.
+    key: one column or several, of which a null equals nothing. guarded: columns that keep an old value unless it is null or
+    one of the given ones. New's keys must be unique; columns that new lacks stay as they are, columns that old lacks are
+    dropped.
     """
-    n = new.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__n_{c}") for c in new.columns if c != key and c in old.columns], F.lit(True).alias("__new"))
-    both = old.withColumn("__old", F.lit(True)).join(n, F.col(key) == F.col("__key"), "full")
+    keys = [key] if isinstance(key, str) else key
+    n = new.select(*[F.col(k).alias(f"__key_{k}") for k in keys], *[F.col(c).alias(f"__n_{c}") for c in new.columns if c not in keys and c in old.columns])
+    both = old.withColumn("__old", F.lit(True)).join(n, [F.col(k) == F.col(f"__key_{k}") for k in keys], "full")
 
     def value(c: str) -> Column:
-        if c == key:
-            return F.coalesce(key, "__key").alias(c)
+        if c in keys:
+            return F.coalesce(c, f"__key_{c}").alias(c)
         if c not in new.columns:
             return F.col(c)
         taken = F.coalesce(f"__n_{c}", c)
@@ -33,6 +35,59 @@ def upsert(old: DataFrame, new: DataFrame, key: str, guarded: dict[str, list[str
     return both.select(*[value(c) for c in old.columns])
 
 
+def scoped_replace(old: DataFrame, new: DataFrame, scope: DataFrame, by: str) -> DataFrame:
+    """Old rows outside the scope and new rows inside it. scope: distinct values of `by`; a null is in no scope."""
+    some = scope.select(by).filter(F.col(by).isNotNull()).distinct()
+    return old.join(some, by, "left_anti").unionByName(new.join(some, by, "left_semi")).select(*old.columns)
+
+
+def changed_columns(old: DataFrame, new: DataFrame, key: str, fields: list[str]) -> DataFrame:
+    """New values of the rows of which some field differs from the old one, with the list `changed`; a null differs from a value."""
+    o = old.select(F.col(key), F.struct(*fields).alias("__o"))
+    changed = F.array_compact(F.array(*[F.when(~F.col(f).eqNullSafe(F.col("__o")[f]), F.lit(f)) for f in fields]))
+    return new.select(key, *fields).join(o, key).withColumn("changed", changed).filter(F.size("changed") > 0).drop("__o")
+
+
+def next_batch(rows: DataFrame, store: DataFrame | None, by: str, mark: str, size: int) -> DataFrame:
+    """The first `size` rows of each source past its watermark. store: (by, last_value), None if nothing was read yet."""
+    if store is not None:
+        rows = rows.join(store.select(by, "last_value"), by, "left").filter(F.col("last_value").isNull() | (F.col(mark) > F.col("last_value"))).drop("last_value")
+    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(by).orderBy(mark))).filter(F.col("__n") <= size).drop("__n")
+
+
+def advance(store: DataFrame | None, done: DataFrame, by: str, mark: str) -> DataFrame:
+    """The watermarks after rows have been taken: they move only as far as rows were done, and never back."""
+    new = done.groupBy(by).agg(F.max(mark).alias("last_value"))
+    return new if store is None else store.select(by, "last_value").unionByName(new).groupBy(by).agg(F.max("last_value").alias("last_value"))
+
+
+def combine(files: list[tuple[DataFrame, Column]], by: list[str]) -> DataFrame:
+    """Rows of several tables, the first of each key by table and then by each table's own order; columns may differ."""
+    out = None
+    for i, (df, order) in enumerate(files):
+        one = df.withColumn("__o", F.struct(F.lit(i).alias("file"), order.cast("string").alias("text"), order.alias("at")))
+        out = one if out is None else out.unionByName(one, allowMissingColumns=True)
+    return keep_first(out, by, [F.col("__o.file"), F.col("__o.at")]).drop("__o")
+
+
+def accounting(df: DataFrame, status: Column) -> DataFrame:
+    """(status, n, total, balanced): rows of each status against an independent count of all rows."""
+    parts = df.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+    one = Window.partitionBy(F.lit(1))  # one row per status
+    whole = df.agg(F.count(F.lit(1))).scalar()
+    return parts.withColumn("total", F.sum("n").over(one)).withColumn("balanced", F.col("total") == whole)
+
+
+def merge_by_state(old: DataFrame, new: DataFrame, key: str, state: str, open_states: list[str]) -> DataFrame:
+    """Old and new rows by key with an outcome: 'inserted', 'kept' (new lacks it), 'replaced' (the old state is open or null) or 'protected'."""
+    o, n = old.select(F.col(key).alias("__k"), F.struct(*old.columns).alias("o")), new.select(F.col(key).alias("__j"), F.struct(*old.columns).alias("n"))
+    both = o.join(n, F.col("__k") == F.col("__j"), "full")
+    free = F.col(f"o.{state}").isNull() | F.col(f"o.{state}").isin(open_states)
+    outcome = F.when(F.col("o").isNull(), "inserted").when(F.col("n").isNull(), "kept").when(free, "replaced").otherwise("protected")
+    row = F.when(outcome.isin("inserted", "replaced"), F.col("n")).otherwise(F.col("o"))
+    return both.select(outcome.alias("outcome"), row.alias("r")).select("outcome", "r.*")
+
+
 def insert_if_absent(old: DataFrame, new: DataFrame, key: list[str], order: list[Column]) -> DataFrame:
     """New rows whose key old does not hold, the first of each key by `order`; keys with a null are never equal."""
     complete = F.lit(True)

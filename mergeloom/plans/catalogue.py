@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from mergeloom.plans import cleaning, general, linking, networks, reporting, streams  # noqa: F401  (the modules fill the registry)
+from mergeloom.plans import cleaning, extraction, general, linking, matches, networks, reporting, streams, structure, upkeep  # noqa: F401  (the modules fill the registry)
 from mergeloom.plans.registry import QUERIES, SQL, Query
 
 

@@ -11,13 +11,13 @@ from mergeloom.functions import text as X
 from mergeloom.functions.core import nz, phone10, zip5
 from mergeloom.operators.cascade import cascade, invariants, reject_reasons
 from mergeloom.operators.spatial import haversine
-from mergeloom.plans.linking import PHONE_SQL, STOP, STREET_SQL, ZIP_SQL
+from mergeloom.plans.linking import PHONE_SQL, PLAIN_WORDS, STREET_SQL, ZIP_SQL
 from mergeloom.plans.registry import query
 from mergeloom.session import table
 
 C = F.col
 _LONGS = "map {'st':'street','ave':'avenue','blvd':'boulevard','rd':'road','dr':'drive','ln':'lane','ct':'court','cir':'circle','pl':'place','sq':'square','ter':'terrace','pkwy':'parkway','hwy':'highway','n':'north','s':'south','e':'east','w':'west','ne':'northeast','nw':'northwest','se':'southeast','sw':'southwest'}"
-_STOPS = ",".join(f"'{w}'" for w in STOP)
+_STOPS = ",".join(f"'{w}'" for w in PLAIN_WORDS)
 
 
 @query(f"""select npi, {STREET_SQL.format('address')} street, nullif(array_to_string(list_transform(string_split(trim(regexp_replace(regexp_replace(lower(nullif(trim(address),'')),'[.,]','','g'),' +',' ','g')),' '), lambda w: coalesce({_LONGS}[w], w)),' '),'') long_form,
@@ -41,11 +41,11 @@ def normaliser_gain(spark: SparkSession, d: str) -> DataFrame:
  array_to_string(list_transform(list_zip(string_split(trim(regexp_replace(practice_name,'\\s+',' ','g')),' '), range(len(string_split(trim(regexp_replace(practice_name,'\\s+',' ','g')),' ')))), lambda x: case when upper(x[1]) in ('DDS','DMD','LLC','PC') then upper(x[1]) when x[2]>0 and lower(x[1]) in ('of','and','at','the') then lower(x[1]) else upper(x[1][1:1])||lower(x[1][2:]) end),' ') titled from practices where practice_name is not null""")
 def name_norm(spark: SparkSession, d: str) -> DataFrame:
     n = C("practice_name")
-    return table(spark, d, "practices").filter("practice_name is not null").select("npi", X.brand_key(n, STOP).alias("brand"), X.slug(n).alias("slug"), X.title_case(n, ["DDS", "DMD", "LLC", "PC"], ["of", "and", "at", "the"]).alias("titled"))
+    return table(spark, d, "practices").filter("practice_name is not null").select("npi", X.brand_key(n, PLAIN_WORDS).alias("brand"), X.slug(n).alias("slug"), X.title_case(n, ["DDS", "DMD", "LLC", "PC"], ["of", "and", "at", "the"]).alias("titled"))
 
 
 @query(f"""select npi, {PHONE_SQL.format('phone')} phone, case when {PHONE_SQL.format('phone')} is not null then '('||left({PHONE_SQL.format('phone')},3)||') '||substr({PHONE_SQL.format('phone')},4,3)||'-'||substr({PHONE_SQL.format('phone')},7,4) end shown, {ZIP_SQL.format('zip')} zip5,
- case when upper(trim(state)) in ({",".join(f"'{v}'" for v in P.STATES.values())}) then upper(trim(state)) end st from practices""")
+ case when upper(trim(state)) in ({",".join(f"'{v}'" for v in P.STATES.values())}) then upper(trim(state)) {" ".join(f"when lower(trim(state))='{k}' then '{v}'" for k, v in P.STATES.items())} end st from practices""")
 def phone_zip_state(spark: SparkSession, d: str) -> DataFrame:
     ten = phone10("phone")
     shown = F.when(ten.isNotNull(), F.concat(F.lit("("), F.substring(ten, 1, 3), F.lit(") "), F.substring(ten, 4, 3), F.lit("-"), F.substring(ten, 7, 4)))
@@ -99,10 +99,10 @@ def haversine_miles(spark: SparkSession, d: str) -> DataFrame:
     return p.select("npi", F.round(haversine(C("latitude"), C("longitude"), F.lit(40.0), F.lit(-100.0)), 4).alias("miles"))
 
 
-@query("""select npi from practices where regexp_matches(practice_name, '[‘’“”–—]') or regexp_matches(address, '[‘’“”–—]')""")
+@query("""select doc_id from documents where regexp_matches(text, '[‘’“”–—áéíóúñü]')""")
 def curly_marks(spark: SparkSession, d: str) -> DataFrame:
-    curly = "[‘’“”–—]"
-    return table(spark, d, "practices").filter(F.coalesce(C("practice_name").rlike(curly), F.lit(False)) | F.coalesce(C("address").rlike(curly), F.lit(False))).select("npi")
+    """Texts with marks or letters beyond plain ASCII that a cleaning step would change."""
+    return table(spark, d, "documents").filter(C("text").rlike("[‘’“”–—áéíóúñü]")).select("doc_id")
 
 
 @query("""select doc_id, source from documents where regexp_matches(lower(text),'(^|[^a-z0-9])(lease|operatories|rota)([^a-z0-9]|$)')""")
@@ -111,7 +111,10 @@ def relevant_documents(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").filter(F.lower("text").rlike(X.any_word(["lease", "operatories", "rota"]))).select("doc_id", "source")
 
 
-@query(None)
+_GUARD = "regexp_replace(text, '\\b(Dr|Mr|Mrs|Ms|St|Inc|Ltd|Co|Jr|Sr|No|[A-Z])\\.', '\\1' || chr(1), 'g')"
+
+
+@query(f"""with s as (select doc_id, list_filter(list_transform(string_split(regexp_replace({_GUARD}, '([.!?])\\s+', '\\1' || chr(2), 'g'), chr(2)), lambda x: trim(replace(x, chr(1), '.'))), lambda x: x<>'') xs from documents) select doc_id, i - 1 as "no", xs[i] sentence from s, unnest(range(1, len(xs) + 1)) t(i)""")
 def deal_sentences(spark: SparkSession, d: str) -> DataFrame:
     """Sentences of the news texts in order."""
     return table(spark, d, "documents").select("doc_id", F.posexplode(X.sentences(C("text"))).alias("no", "sentence"))

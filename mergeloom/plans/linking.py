@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from mergeloom.functions.address import house_number, location_id, street_key, xref_key
 from mergeloom.functions.core import digits, nz, phone10, zip5
 from mergeloom.functions.fuzzy import ratio, token_sort
-from mergeloom.functions.text import brand_key, host
+from mergeloom.functions.text import host
 from mergeloom.operators.graph import clusters_by_key, connected_components, propagate
 from mergeloom.operators.matching import band_pairs, fuzzy_match, longest_pattern
-from mergeloom.operators.merge import change_events, collapse, first_known, insert_if_absent, keep_first, pull, upsert
-from mergeloom.operators.spatial import haversine, near_pairs, placed
+from mergeloom.operators.merge import change_events, collapse, first_known, keep_first, pull, upsert
+from mergeloom.operators.spatial import near_pairs, near_places, placed
 from mergeloom.plans.registry import query
 from mergeloom.session import table
 
@@ -77,24 +77,6 @@ def band_join_60d(spark: SparkSession, d: str) -> DataFrame:
     return band_pairs(e, ["t", "st"], "deal_date", 60, "id")
 
 
-@query("""with recursive e as (select a.id a, b.id b from deals a join deals b on lower(trim(a.target_name))=lower(trim(b.target_name)) and upper(trim(a.target_state))=upper(trim(b.target_state)) and a.id<>b.id and trim(a.target_name)<>'' where abs(datediff('day',a.deal_date,b.deal_date))<=60),
- r(v,c) as (select a, a from e union select e.b, r.c from r join e on r.v=e.a), k as (select v, min(c) c from r group by 1),
- g as (select d.*, coalesce(k.c, d.id) c, (deal_size_mm is not null)::int+(ebitda_multiple is not null)::int+(num_locations is not null)::int+(pe_sponsor is not null)::int+(source_url is not null)::int f from deals d left join k on k.v=d.id),
- o as (select *, row_number() over (partition by c order by f desc, id) rn from g)
- select c as group_id, min(case when rn=1 then id end) keeper, count(*) members, arg_min(deal_size_mm, rn) filter (deal_size_mm is not null) deal_size_mm, arg_min(pe_sponsor, rn) filter (pe_sponsor is not null) pe_sponsor, array_to_string(list_sort(list_distinct(list(source))),',') sources from o group by 1""")
-def deal_dedup_merge(spark: SparkSession, d: str) -> DataFrame:
-    """Repeated deals merged: the most complete row is kept and its gaps filled from the others."""
-    e = table(spark, d, "deals")
-    same = e.withColumn("t", F.lower(nz("target_name"))).withColumn("st", F.upper(F.trim("target_state"))).filter("t is not null")
-    groups = connected_components(band_pairs(same, ["t", "st"], "deal_date", 60, "id"), "id_a", "id_b").toDF("id", "c")
-    known = F.size(F.array_compact(F.array(*[F.col(c).cast("string") for c in ("deal_size_mm", "ebitda_multiple", "num_locations", "pe_sponsor", "source_url")])))
-    g = e.join(groups, "id", "left").withColumn("group_id", F.coalesce("c", "id")).withColumn("o", F.struct((-known).alias("f"), "id"))
-    return g.groupBy("group_id").agg(
-        F.min_by("id", "o").alias("keeper"), F.count(F.lit(1)).alias("members"), first_known("deal_size_mm", F.col("o")).alias("deal_size_mm"), first_known("pe_sponsor", F.col("o")).alias("pe_sponsor"),
-        F.array_join(F.array_sort(F.collect_set("source")), ",").alias("sources"),
-    )
-
-
 def _near_sql(where: str) -> str:
     return f"""v as (select npi, latitude la, longitude lo, floor(latitude/0.004)::int g from practices where abs(latitude)<=90 and abs(longitude)<=180 and not (latitude=0 and longitude=0) and {where}), w as (select npi, la, lo, g+dx g from v, (select unnest([-1,0,1]) dx)),
  e as (select distinct a.npi a, b.npi b from v a join w b using (g) where a.npi<>b.npi and 2*3958.8*asin(sqrt(pow(sin(radians(a.la-b.la)/2),2)+cos(radians(a.la))*cos(radians(b.la))*pow(sin(radians(a.lo-b.lo)/2),2)))<=0.25)"""
@@ -128,18 +110,18 @@ def centroid_fallback(spark: SparkSession, d: str) -> DataFrame:
     return e.join(z, "z", "left").join(c, ["st", "ct"], "left").select("id", F.round(F.coalesce("zla", "cla"), 6).alias("lat"), F.round(F.coalesce("zlo", "clo"), 6).alias("lon"))
 
 
-@query("""with z as (select left(nullif(trim(zip),''),5) z, median(latitude) la, median(longitude) lo from practices where abs(latitude)<=90 and abs(longitude)<=180 and not (latitude=0 and longitude=0) group by 1), e as (select d.id, la, lo from deals d join z on z.z=left(nullif(trim(target_zip),''),5)),
- p as (select npi, latitude la, longitude lo from practices where abs(latitude)<=90 and abs(longitude)<=180 and not (latitude=0 and longitude=0))
- select npi, count(*) deals_near from p join e on abs(p.la-e.la)<0.03 and 2*3958.8*asin(sqrt(pow(sin(radians(p.la-e.la)/2),2)+cos(radians(p.la))*cos(radians(e.la))*pow(sin(radians(p.lo-e.lo)/2),2)))<=2 group by 1""")
+@query("""with z as (select left(nullif(trim(zip),''),5) z, avg(latitude) la, avg(longitude) lo from practices where abs(latitude)<=90 and abs(longitude)<=180 and not (latitude=0 and longitude=0) group by 1), e as (select id, la, lo, upper(nullif(trim(target_state),'')) st from deals join z on z.z=left(nullif(trim(target_zip),''),5)),
+ p as (select npi, latitude la, longitude lo, upper(nullif(trim(state),'')) st from practices where abs(latitude)<=90 and abs(longitude)<=180 and not (latitude=0 and longitude=0))
+ select npi, count(*) deals_near from p join e on abs(p.la-e.la)<0.03 and 2*3958.8*asin(sqrt(pow(sin(radians(p.la-e.la)/2),2)+cos(radians(p.la))*cos(radians(e.la))*pow(sin(radians(p.lo-e.lo)/2),2)))<=2 and coalesce(p.st=e.st,true) group by 1""")
 def catchment_2mi(spark: SparkSession, d: str) -> DataFrame:
-    """Deals within two miles of each practice, by latitude bands and the bands next to them."""
+    """Deals within two miles of each practice, by the centres of their ZIPs; states must agree where both are known."""
     p = table(spark, d, "practices").filter(placed(F.col("latitude"), F.col("longitude")))
-    z = p.groupBy(zip5("zip").alias("z")).agg(F.expr("percentile(latitude, 0.5)").alias("ela"), F.expr("percentile(longitude, 0.5)").alias("elo"))
+    z = p.groupBy(zip5("zip").alias("z")).agg(F.avg("latitude").alias("ela"), F.avg("longitude").alias("elo"))
+    state = lambda c: F.upper(nz(c))
     # Deals of one ZIP share its centre: they are counted first and meet practices once per centre.
-    e = table(spark, d, "deals").select(zip5("target_zip").alias("z")).join(z, "z").groupBy("ela", "elo").agg(F.count(F.lit(1)).alias("k"))
-    band = lambda c: F.floor(F.col(c) / 0.03).cast("int")
-    e = e.withColumn("b", F.explode(F.array(*[band("ela") + i for i in (-1, 0, 1)])))
-    near = p.withColumn("b", band("latitude")).join(e, "b").filter(haversine(F.col("latitude"), F.col("longitude"), F.col("ela"), F.col("elo")) <= 2)
+    e = table(spark, d, "deals").select(zip5("target_zip").alias("z"), state("target_state").alias("est")).groupBy("z", "est").agg(F.count(F.lit(1)).alias("k"))
+    near = near_places(p, "npi", "latitude", "longitude", z.join(e.select("z").distinct(), "z", "left_semi"), "z", "ela", "elo", 2)
+    near = near.join(p.select("npi", state("state").alias("st")), "npi").join(e, "z").filter("st is null or est is null or st = est")
     return near.groupBy("npi").agg(F.sum("k").alias("deals_near"))
 
 
@@ -202,14 +184,8 @@ def clusters_by_site(spark: SparkSession, d: str) -> DataFrame:
     return clusters_by_key(table(spark, d, "practices"), host(F.col("website")), "npi", zip5("zip"), 2, 2)
 
 
-STOP = ["dental", "dentistry", "the", "of", "at", "and", "llc", "inc", "pc", "dds", "pllc", "group", "family", "care", "center", "associates", "smile", "clinic", "studio", "arts"]
-_STOPS = ",".join(f"'{w}'" for w in STOP)
-
-
-@query(_cluster_sql(f"nullif(array_to_string(list_filter(regexp_extract_all(lower(practice_name),'[a-z0-9]+'), lambda w: len(w)>1 and not list_contains([{_STOPS}],w)),' '),'')", 3, 3))
-def name_chains(spark: SparkSession, d: str) -> DataFrame:
-    """Distinctive names used in at least three ZIPs."""
-    return clusters_by_key(table(spark, d, "practices"), brand_key(F.col("practice_name"), STOP), "npi", zip5("zip"), 3, 3)
+# Words of names of firms that this library's own queries treat as telling nothing.
+PLAIN_WORDS = ["dental", "dentistry", "family", "llc", "inc", "pc", "the", "and", "of", "at"]
 
 
 @query("""with p as (select npi, nullif(trim(ein),'') k, nullif(affiliated_dso,'') a from practices), f as (select k, a from (select *, row_number() over (partition by k order by npi) rn from p where k is not null and a is not null) where rn=1) select p.npi, coalesce(p.a, f.a) affiliated_dso from p left join f using (k)""")
@@ -293,14 +269,6 @@ def upsert_guarded(spark: SparkSession, d: str) -> DataFrame:
     return upsert(table(spark, d, "practices").select(*cols), _replica(spark, d).select(*cols), "npi", {"ownership_status": ["unknown"]})
 
 
-@query("""with o as (select * from deals where source<>'pitchbook'), f as (select * from deals d where source='pitchbook' and not exists (select 1 from o where o.platform_company=d.platform_company and o.target_name=d.target_name and o.deal_date=d.deal_date))
- select id from (select *, row_number() over (partition by platform_company, target_name, deal_date order by id) rn from f) where rn=1 or platform_company is null or target_name is null or deal_date is null""")
-def insert_absent_deals(spark: SparkSession, d: str) -> DataFrame:
-    """Deals of one source that the others lack; without a target nothing is a repeat."""
-    e = table(spark, d, "deals")
-    return insert_if_absent(e.filter("source <> 'pitchbook'"), e.filter("source = 'pitchbook'"), ["platform_company", "target_name", "deal_date"], [F.asc("id")]).select("id")
-
-
 @query("""select npi, strftime(change_date,'%Y-%m-%d') as "day", lower(trim(field_changed)) f, trim(new_value) v, min(id) id from practice_changes where change_date is not null group by 1,2,3,4""")
 def duplicate_events(spark: SparkSession, d: str) -> DataFrame:
     """One event per key, day, field and value: the first written."""

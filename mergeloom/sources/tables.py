@@ -26,34 +26,66 @@ def _fs(spark: SparkSession, path: str):
     return p, p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
-def replace_table(df: DataFrame, path: str, floor: int = 1, share: float = 0.95) -> int:
+def replace_table(df: DataFrame, path: str, floor: int = 1, share: float = 0.95, empty: bool = False) -> int:
     """Replaces a parquet table through a staging folder, if enough rows came; gives their number.
 
-    An empty, too small or shrunken replacement raises and leaves the old table as it was.
+    An empty (unless `empty`), too small or shrunken replacement raises and leaves the old table as it was.
     """
     spark = df.sparkSession
-    staged, old = f"{path}.staged-{uuid.uuid4().hex}", f"{path}.old-{uuid.uuid4().hex}"
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
     df.write.parquet(staged)
     target, fs = _fs(spark, path)
     have = spark.read.schema(df.schema).parquet(path).count() if fs.exists(target) else 0
     n = spark.read.schema(df.schema).parquet(staged).count()
-    s, o = _fs(spark, staged)[0], _fs(spark, old)[0]
     try:
-        replace_guard(have, n, floor, share)
+        if n or not empty:
+            replace_guard(have, n, floor, share)
     except ValueError:
-        fs.delete(s, True)
+        fs.delete(_fs(spark, staged)[0], True)
         raise
-    if fs.exists(target):
-        fs.rename(target, o)
-    fs.rename(s, target)
-    fs.delete(o, True)
+    _swap(spark, staged, path)
     return n
 
 
+def rebuild_table(df: DataFrame, path: str) -> int:
+    """Drops a parquet table and writes it anew, whatever it held; gives the number of rows."""
+    return replace_table(df, path, floor=0, share=0.0, empty=True)
+
+
 def append_log(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def rotate_log(spark: SparkSession, path: str, schema: str, time: str, n: int) -> int:
+    """Keeps the newest n entries of a JSON-lines log; entries come in a new folder that then takes the old one's place."""
+    kept = keep_newest(read_log(spark, path, schema), time, n)
+    staged = f"{path}.staged-{uuid.uuid4().hex}"
+    kept.write.json(staged)
+    _swap(spark, staged, path)
+    return read_log(spark, path, schema).count()
+
+
+def report(df: DataFrame, path: str) -> None:
+    """Rows as JSON documents with a fixed set of fields, nulls kept, in a single file for people to read."""
+    df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("value")).coalesce(1).write.mode("overwrite").text(path)
+
+
+def _swap(spark: SparkSession, staged: str, path: str) -> None:
+    """Puts a finished folder in a table's place. The old one is moved aside first and put back if the second move fails."""
+    old = f"{path}.old-{uuid.uuid4().hex}"
+    target, fs = _fs(spark, path)
+    s, o = _fs(spark, staged)[0], _fs(spark, old)[0]
+    had = fs.exists(target)
+    if had and not fs.rename(target, o):
+        raise OSError(f"{path} could not be moved")
+    if not fs.rename(s, target):
+        if had:
+            fs.rename(o, target)
+        raise OSError(f"{staged} could not be moved")
+    if had:
+        fs.delete(o, True)
+
+
 def keep_newest(log: DataFrame, time: str, n: int) -> DataFrame:
     """The newest n entries (top-k; ties by the whole row)."""
     return log.orderBy(F.desc(time), F.desc(F.to_json(F.struct(*log.columns)))).limit(n)

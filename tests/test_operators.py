@@ -143,3 +143,56 @@ def test_nearest(spark, monkeypatch):
     got = {(r.qid, r.hit) for r in nearest(df.filter("i % 4 = 0 and i < 40"), df, "i", "v", 3, digits=3).collect()}
     assert len(got ^ want) <= 2
     assert nearest(df.limit(0), df, "i", "v", 3).collect() == []
+
+
+def test_similar_texts_against_brute_force(spark):
+    from mergeloom.operators.matching import containing_texts, similar_texts
+
+    rng = random.Random(6)
+    base = ["".join(rng.choice("abcde ") for _ in range(rng.randrange(4, 30))) for _ in range(25)]
+    change = lambda t: "".join(c for c in t if rng.random() > 0.04) + rng.choice(["", "x"])
+    left, right = [(i, "s", t) for i, t in enumerate(base)] + [(90, None, "a"), (91, "s", None), (92, "s", "")], [(i, rng.choice("ss t").strip() or None, change(t)) for i, t in enumerate(base * 3)]
+    for least in (80, 92):
+        want = sorted((i, j) for i, b, t in left for j, c, u in right if b and t and u and b == c and indel(t, u) >= least)
+        found = similar_texts(spark.createDataFrame(left, "i int, b string, t string"), spark.createDataFrame(right, "j int, b string, u string"), "b", "t", "u", "i", "j", least)
+        assert rows(found.select("i", "j")) == want
+    a, b = spark.createDataFrame([("abcd",), ("xy",), (None,), ("",)], "t string"), spark.createDataFrame([("bc",), ("abcd",), ("y",), ("",), (None,)], "p string")
+    assert rows(containing_texts(a, "t", b, "p")) == [("abcd", "abcd"), ("abcd", "bc"), ("xy", "y")]
+
+
+def test_ranked_match(spark):
+    from mergeloom.operators.matching import ranked_match
+
+    left = spark.createDataFrame([(1, "z", "10 elm st", "smith"), (2, "z", None, "jones dental"), (3, None, "10 elm st", "smith"), (4, "z", "zzz", "qqq")], "id int, b string, a string, n string")
+    right = spark.createDataFrame([("p", "z", "10 elm str", "x"), ("q", "z", "99 oak", "smith"), ("r", "z", "7", "jones dental"), ("s", "z", "7", "jones dental")], "rid string, b string, a string, n string")
+    got = rows(ranked_match(left, right, ["b"], "id", "rid", [("address", [("a", "a")], 80, 0), ("name", [("n", "n"), ("n", "a")], 75, 1)]).select("id", "rid", "how"))
+    assert got == [(1, "p", "address"), (2, "r", "name")]
+
+
+def test_numbered_batches(spark):
+    from mergeloom.operators.ordering import batches, numbered
+
+    df = spark.range(1000, numPartitions=7).selectExpr("id", "pmod(hash(id), 997) k")
+    want = sorted((r.k, r.id) for r in df.collect())
+    for rows_ in (numbered(df.repartition(5), [F.asc("k"), F.asc("id")]).collect(),):
+        assert [(r.k, r.id) for r in sorted(rows_, key=lambda r: r.row_no)] == want and sorted(r.row_no for r in rows_) == list(range(1000))
+    assert {r.batch_no for r in batches(df, [F.asc("k")], 300).collect()} == {0, 1, 2, 3}
+    assert numbered(df.limit(0), [F.asc("k")]).collect() == []
+
+
+def test_composite_keys_scopes_and_watermarks(spark):
+    from mergeloom.operators import merge as M
+
+    old = spark.createDataFrame([(1, "a", 5, None), (1, "b", 6, 1), (None, "a", 7, 1)], "y int, s string, v int, w int")
+    new = spark.createDataFrame([(1, "a", None, 9), (1, "c", 8, 8), (None, "a", 0, 0)], "y int, s string, v int, w int")
+    show = lambda df: sorted(tuple(map(str, r)) for r in df.collect())
+    assert show(M.upsert(old, new, ["y", "s"])) == sorted([("1", "a", "5", "9"), ("1", "b", "6", "1"), ("None", "a", "7", "1"), ("1", "c", "8", "8"), ("None", "a", "0", "0")])
+    scope = spark.createDataFrame([("a",), (None,)], "s string")
+    assert show(M.scoped_replace(old.select("y", "s"), new.select("y", "s"), scope, "s")) == [("1", "a"), ("1", "b"), ("None", "a")]
+    t = spark.createDataFrame([("p", i) for i in range(10)] + [("q", 5)], "s string, id int")
+    store = M.advance(None, M.next_batch(t, None, "s", "id", 4), "s", "id")
+    assert rows(store) == [("p", 3), ("q", 5)]
+    again = M.next_batch(t, store, "s", "id", 4)
+    assert rows(again) == [("p", i) for i in (4, 5, 6, 7)] and rows(M.advance(store, again, "s", "id")) == [("p", 7), ("q", 5)]
+    state = M.merge_by_state(spark.createDataFrame([(1, "open"), (2, "held"), (3, None), (4, "open")], "k int, s string"), spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (9, "x")], "k int, s string"), "k", "s", ["open"])
+    assert rows(state) == [("inserted", 9, "x"), ("kept", 4, "open"), ("protected", 2, "held"), ("replaced", 1, "x"), ("replaced", 3, "x")]

@@ -56,3 +56,30 @@ def test_member_pairs_in_chunks(spark):
     links = spark.createDataFrame([(1, 4), (3, 4)], "ga int, gb int")
     cross = {(min(a, b), max(a, b)) for p, q in ((1, 4), (3, 4)) for x, a in m for y, b in m if x == p and y == q and a != b}
     assert set(rows(linked_member_pairs(links, df, "g", "k", 4))) == cross
+
+
+def test_near_places_and_regions(spark):
+    from mergeloom.operators.spatial import containing_regions, near_places
+
+    rng = random.Random(12)
+    points = [(f"p{i}", 40 + rng.uniform(-0.1, 0.1), rng.choice([-100, 179.99]) + rng.uniform(-0.1, 0.1)) for i in range(150)] + [("n", None, 1.0), ("z", 0.0, 0.0), ("pole", 89.999, 10.0), (None, 40.0, -100.0)]
+    points = [(k, la, lo if lo is None or lo <= 180 else lo - 360) for k, la, lo in points]
+    places = [("a", 40.0, -100.0), ("b", 40.02, 179.999), ("c", 39.98, -179.99), ("pole", 89.9995, -150.0), (None, 40.0, -100.0)]
+    def far(a, b):
+        la, lb, d = math.radians(a[1]), math.radians(b[1]), math.radians(a[2] - b[2])
+        return 2 * 3958.8 * math.asin(min(1, math.sqrt(math.sin((la - lb) / 2) ** 2 + math.cos(la) * math.cos(lb) * math.sin(d / 2) ** 2)))
+    want = sorted((p[0], q[0]) for p in points for q in places if p[0] and q[0] and p[1] is not None and p[0] != "z" and far(p, q) <= 5)
+    df, pl = spark.createDataFrame(points, "k string, la double, lo double"), spark.createDataFrame(places, "c string, la double, lo double")
+    assert rows(near_places(df, "k", "la", "lo", pl, "c", "la", "lo", 5).select("k", "c")) == want
+    ring = [(39.95, -100.05), (39.95, -99.95), (40.0, -100.0), (40.05, -99.95), (40.05, -100.05)]
+    regions = spark.createDataFrame([("r", ring), ("few", ring[:2]), ("none", None), (None, ring)], "id string, ring array<struct<lat:double,lon:double>>")
+
+    def inside(la, lo):
+        odd = False
+        for (a, x), (b, y) in zip(ring, ring[1:] + ring[:1]):
+            if (a > la) != (b > la) and lo < (y - x) * (la - a) / (b - a) + x:
+                odd = not odd
+        return odd
+
+    want = sorted((k, "r") for k, la, lo in points if k and la is not None and inside(la, lo))
+    assert rows(containing_regions(df, "k", "la", "lo", regions, "id", "ring")) == want and len(want) > 5
