@@ -153,14 +153,14 @@ def people_names(spark: SparkSession, d: str) -> DataFrame:
     return p.select("npi", X.is_person(C("practice_name")).alias("person"), F.coalesce(nz("provider_last_name"), X.surname(C("practice_name"))).alias("surname"))
 
 
-@query("""select id, case when x>5000 then x/1000 when x>0 then x end size_mm, case when m>0 and m<100 then round(m,1) end multiple, case when num_locations is not null then num_locations else floor(x)::int end n from (select *, case id%3 when 0 then deal_size_mm*1000 when 1 then deal_size_mm else -deal_size_mm end x, case id%2 when 0 then ebitda_multiple else ebitda_multiple*100 end m from deals where deal_size_mm between 6 and 4999)""")
+@query("""select id, case when x>5000 then x/1000 when x>0 then x end size_mm, case when m>0 and m<100 then round(m,1) end multiple, case when num_locations is not null then num_locations when x>0 then floor(x)::int end n from (select *, case id%3 when 0 then deal_size_mm*1000 when 1 then deal_size_mm else -deal_size_mm end x, case id%2 when 0 then ebitda_multiple else ebitda_multiple*100 end m from deals where deal_size_mm between 6 and 4999)""")
 def deal_numbers(spark: SparkSession, d: str) -> DataFrame:
     """Sizes and multiples within their bounds, and a number with another to fall back on; written out and read back."""
     e = table(spark, d, "deals").filter("deal_size_mm between 6 and 4999")
     x = F.when(C("id") % 3 == 0, C("deal_size_mm") * 1000).when(C("id") % 3 == 1, C("deal_size_mm")).otherwise(-C("deal_size_mm"))
     m = F.when(C("id") % 2 == 0, C("ebitda_multiple")).otherwise(C("ebitda_multiple") * 100)
-    band = F.when(x < 0, F.lit(None).cast("string")).otherwise(F.concat(F.floor(x).cast("string"), F.lit(" to 9999")))
-    return e.select("id", D.size_mm(F.concat(F.lit("$"), x.cast("string"))).alias("size_mm"), D.multiple(F.concat(m.cast("string"), F.lit("x"))).alias("multiple"), D.staff(C("num_locations"), F.coalesce(band, F.floor(x).cast("string"))).alias("n")).withColumn("n", F.when(C("size_mm").isNull() & C("n").isNotNull(), F.col("n")).otherwise(C("n")))
+    band = F.when(x > 0, F.concat(F.floor(x).cast("string"), F.lit(" to 9999")))
+    return e.select("id", D.size_mm(F.concat(F.lit("$"), x.cast("string"))).alias("size_mm"), D.multiple(F.concat(m.cast("string"), F.lit("x"))).alias("multiple"), D.staff(C("num_locations"), band).alias("n"))
 
 
 @query("""select npi, 2025 - year_established age, coalesce(nullif(trim(parent_company),''),'') || case when contains(coalesce(parent_company,''),'[seen]') then '' else ' [seen]' end note from practices""")
