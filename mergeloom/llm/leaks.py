@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from mergeloom.session import Scratch
+
 WORD = re.compile("[a-z0-9]+")
 #: Words of corpus in one suffix array, and words of items searched in one pass over the corpus.
 SHARD_WORDS, ITEM_WORDS = 1_000_000, 2_000_000
@@ -120,33 +122,42 @@ def _scan(batches: Iterator[pa.RecordBatch], items: _Items) -> Iterator[pa.Recor
         yield out
 
 
+def _blocks(rows: Iterator) -> Iterator[list[tuple[int, str]]]:
+    """Items in blocks of at most `ITEM_WORDS` words, one held at a time; an empty block if there are none."""
+    block, size, some = [], 0, False
+    for r in rows:
+        n = len(words(r.t))
+        if block and size + n > ITEM_WORDS:
+            yield block
+            block, size, some = [], 0, True
+        block.append((r.i, r.t))
+        size += n
+    if block or not some:
+        yield block
+
+
 def leaked(docs: DataFrame, doc_key: str, text: str, items: DataFrame, item_key: str, item_text: str, least: int = 12) -> DataFrame:
     """(doc_key, item_key, n_words, word_at): the longest run of words, at least `least`, that a document and an item share.
 
     Words are maximal runs of a-z and 0-9 after lower-casing; of equally long runs the first place in the document
     (counted in words) is given. Texts that are null, blank or shorter than `least` words match nothing; rows with a
     null key are left out. Repeated rows repeat their result once per key. Items are searched in blocks of at most
-    `ITEM_WORDS` words (a larger single item is a block of its own), so any number of items is allowed and what is
-    sent to the workers is bounded.
+    `ITEM_WORDS` words (a larger single item is a block of its own), so any number of items is allowed, and what the driver
+    holds and sends to the workers is one block at a time; the corpus is read once a block.
     """
     spark = docs.sparkSession
     q = items.select(F.col(f"`{item_key}`").cast("bigint").alias("i"), F.col(f"`{item_text}`").alias("t")).filter("i is not null and t is not null").distinct()
     d = docs.select(F.col(f"`{doc_key}`").cast("bigint").alias("d"), F.col(f"`{text}`").alias("t")).filter("d is not null and t is not null")
     schema = "d bigint, i bigint, n bigint, p bigint"
-    blocks, block, size = [], [], 0
-    for r in q.toLocalIterator():
-        n = len(words(r.t))
-        if block and size + n > ITEM_WORDS:
-            blocks.append(block)
-            block, size = [], 0
-        block.append((r.i, r.t))
-        size += n
-    blocks.append(block)
-    found = None
-    for block in blocks:
+    scratch, found, last = Scratch(spark), None, None
+    for block in _blocks(q.toLocalIterator()):
+        if last is not None:  # more than one block: each is searched, written and let go before the next is fetched
+            done = scratch.cut(last)
+            found = done if found is None else found.unionByName(done)
+            held.destroy()
         held = spark.sparkContext.broadcast(block)
-        some = d.mapInArrow(lambda it, held=held: _scan(it, _Items(held.value, least)), schema)
-        found = some if found is None else found.unionByName(some)
+        last = d.mapInArrow(lambda it, held=held: _scan(it, _Items(held.value, least)), schema)
+    found = last if found is None else found.unionByName(last)
     best = found.groupBy("d", "i").agg(F.max(F.struct("n", (-F.col("p")).alias("p"))).alias("x"))
     return best.select(F.col("d").alias(doc_key), F.col("i").alias(item_key), F.col("x.n").alias("n_words"), (-F.col("x.p")).alias("word_at"))
 
