@@ -36,10 +36,17 @@ def _mixed(x: np.ndarray, by: int) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
+_TABLES: dict[int, np.ndarray] = {}
+
+
 def _powers(base: int, n: int) -> np.ndarray:
-    out = np.full(n, base, dtype=np.uint64)
-    out[:1] = 1
-    return np.multiply.accumulate(out)
+    """The first n powers modulo 2^64, from a table that grows with the longest text met."""
+    have = _TABLES.get(base)
+    if have is None or len(have) < n:
+        have = np.full(max(n, 2 * len(have) if have is not None else 4096), base, dtype=np.uint64)
+        have[:1] = 1
+        have = _TABLES[base] = np.multiply.accumulate(have)
+    return have[:n]
 
 
 class Windows:
@@ -57,10 +64,9 @@ class Windows:
         return _mixed(h, self.base).view(np.int64)
 
 
-def anchors(text: str, length: int) -> np.ndarray:
-    """For each start of a window of `length` characters, the anchor it chooses."""
+def anchors(c: np.ndarray, length: int) -> np.ndarray:
+    """For each start of a window of `length` characters (given by their codes), the anchor it chooses."""
     reach, group = length // 2, length // 6
-    c = _codes(text)
     h = c * np.uint64(_BASE)
     width = 1
     while width < group:  # hash of `group` characters from hashes of its parts
@@ -68,15 +74,13 @@ def anchors(text: str, length: int) -> np.ndarray:
         h = h[: len(h) - step] * np.uint64(0xD6E8FEB86659FD93 + 2 * width) + h[step:]
         h ^= h >> np.uint64(29)
         width += step
-    place = np.arange(len(h), dtype=np.int64)
-    h *= np.uint64(_BASE)
-    best, span = h, 1
+    # The place in the lower half breaks ties of the hash's upper half in favour of the first.
+    best, span = (h * np.uint64(_BASE)) & np.uint64(0xFFFFFFFF00000000) | np.arange(len(h), dtype=np.uint64), 1
     while span < reach:
         step = min(span, reach - span)
-        left = best[: len(best) - step] <= best[step:]
-        best, place = np.where(left, best[: len(best) - step], best[step:]), np.where(left, place[: len(place) - step], place[step:])
+        best = np.minimum(best[: len(best) - step], best[step:])
         span += step
-    return place[: len(text) - length + 1]
+    return (best[: len(c) - length + 1] & np.uint64(0xFFFFFFFF)).astype(np.int64)
 
 
 def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -85,10 +89,11 @@ def _anchor_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
         for d, t in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             text = t.as_py()
             if len(text) >= length:
-                a = np.unique(anchors(text, length))
+                codes = _codes(text)
+                a = np.unique(anchors(codes, length))
                 doc.append(np.full(len(a), d, np.int64))
                 at.append(a)
-                h.append(Windows(_codes(text), 0).at(a, length // 2))
+                h.append(Windows(codes, 0).at(a, length // 2))
         if doc:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(k)) for x, k in ((doc, np.int64), (at, np.int32), (h, np.int64))], ["d", "a", "h"])
 
@@ -99,7 +104,8 @@ def _window_rows(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.
             text = t.as_py()
             chosen = np.zeros(len(text) + 1, bool)
             chosen[keep.values.to_numpy(zero_copy_only=False)] = True
-            starts, codes = np.flatnonzero(chosen[anchors(text, length)]), _codes(text)
+            codes = _codes(text)
+            starts = np.flatnonzero(chosen[anchors(codes, length)])
             hashes = [Windows(codes, i).at(starts, length) for i in (0, 1)]
             for i in range(0, len(starts), 50_000):
                 part = slice(i, i + 50_000)

@@ -77,6 +77,6 @@ def test_shared_windows_choose_the_same_anchor(n):
     rng = random.Random(n)
     common = "".join(rng.choice("abc") for _ in range(n + 40))
     a, b = "q" * 77 + common + "rr", "st" * 9 + common + "u" * 50
-    x, y = anchors(a, n), anchors(b, n)
+    x, y = anchors(_codes(a), n), anchors(_codes(b), n)
     for i in range(41):
         assert x[77 + i] - 77 == y[18 + i] - 18 and 0 <= x[77 + i] - 77 - i < n // 2
