@@ -153,14 +153,19 @@ _WORDS = "regexp_extract_all(lower({0}), '[a-z0-9]+')"
 _GRAMS = "select {1} id, array_to_string(w[i : i + 11], ' ') g from (select {1}, " + _WORDS + " w from {2}), unnest(range(1, len(w) - 10)) t(i)"
 _LEAKS = f"with d as ({_GRAMS.format('text', 'doc_id', 'documents')}), q as ({_GRAMS.format('text', 'item_id', 'eval_items')}), l as (select distinct d.id doc_id, q.id item_id from d join q using (g)) "
 
+#: Runs of item words in a document: places of common 12-word passages that go on together.
+_RUNS = _LEAKS[: _LEAKS.index(", l as")].replace(" id, array_to_string", " id, i, array_to_string") + """, m as (select d.id doc_id, q.id item_id, d.i, d.i - q.i diagonal from d join q using (g)),
+ s as (select *, i - row_number() over (partition by doc_id, item_id, diagonal order by i) island from m), r as (select doc_id, item_id, count(*) + 11 n_words from s group by doc_id, item_id, diagonal, island) """
+
 _WINDOWS = """with w as (select distinct doc_id, i, hash(substr(text, i, 240)) h from documents, unnest(range(1, length(text) - 238)) t(i)), r as (select h from w group by 1 having min(doc_id) <> max(doc_id)), k as (select doc_id, i, h from w semi join r using (h)) """
 
 
 def oracle_sql() -> dict[str, str]:
-    """SQL of the queries that have an exact result; p3, p6 and p9 are tested against planted cases and brute force."""
+    """SQL of the queries that have an exact result and a short one; p3, p6, p9 and the rest of p10 are tested against planted cases and brute force."""
     return {
         "p5_found": _P5_SQL,
         "p8_found": _LEAKS + "select doc_id, item_id from l",
+        "p8_items": _RUNS + "select item_id, count(distinct doc_id) n_docs, max(n_words) longest from r group by item_id",
         "p8_clean": _LEAKS + "select doc_id, source, n_chars from documents where doc_id not in (select doc_id from l)",
         "p10_found": _WINDOWS + "select distinct a.doc_id doc_id_a, b.doc_id doc_id_b from k a join k b on a.h = b.h where a.doc_id < b.doc_id",
     }
