@@ -39,7 +39,7 @@ def encoder(ranks: bytes):
 def _count(batches: Iterator[pa.RecordBatch], ranks: Broadcast[bytes]) -> Iterator[pa.RecordBatch]:
     e = encoder(ranks.value)
     for batch in batches:
-        n = [len(x) for x in e.encode_ordinary_batch(batch.column("text").to_pylist(), num_threads=1)]
+        n = [len(e.encode_ordinary(t)) for t in batch.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays([batch.column("d"), batch.column("leaf"), pa.array(n, pa.int64())], ["d", "leaf", "n"])
 
 
