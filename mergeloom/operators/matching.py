@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions.fuzzy import may_reach, ratio
+from mergeloom.operators.similar import Texts, block_text, codes, meet, similar
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, left_id: str, right_id: str, least: float, first: bool = False, strict: bool = False) -> DataFrame:
@@ -56,36 +58,20 @@ def ranked_match(left: DataFrame, right: DataFrame, block: list[str], left_id: s
 
 
 def similar_texts(left: DataFrame, right: DataFrame, block: str, left_text: str, right_text: str, left_id: str, right_id: str, least: float) -> DataFrame:
-    """(left_id, right_id, score) of all pairs of a block whose texts' ratio is at least `least`, without meeting by the block alone.
+    """(left_id, right_id, score) of all pairs of a block whose texts' ratio is at least `least`.
 
-    A ratio bounds the edits; a text cut into more pieces than there may be edits keeps one of them whole. Right texts
-    are found under their pieces, left ones under all runs that may be such a piece: same place up to the number of
-    edits. Made for high ratios, where pieces are long. Null blocks and texts match nothing; repeated rows give one pair.
+    Blocks meet in parts (`similar.meet`), where signatures of the texts leave few pairs to compare. Null blocks and null or
+    empty texts match nothing; repeated rows give one pair.
     """
-    share = (100 - least) / 100
-    n = F.col("n")
-    # Longest partner of a text of length n, and the edits that a pair with it may have.
-    most = F.floor(n * (1 + share) / (1 - share) + 1e-9).cast("int")
-    edits = F.floor(share * (n + most) + 1e-9).cast("int")
-    start = lambda m, k, i: F.floor(m * i / (k + 1)).cast("int")
-    l = left.select(F.col(block).alias("b"), F.col(left_text).alias("lt"), F.col(left_id).alias("__l")).filter("b is not null and lt <> ''").distinct()  # noqa: E741
-    r = right.select(F.col(block).alias("b"), F.col(right_text).alias("rt"), F.col(right_id).alias("__r")).filter("b is not null and rt <> ''").distinct()
-    r = r.withColumn("n", F.length("rt")).withColumn("k", edits).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))
-    r = r.withColumn("at", start(n, F.col("k"), F.col("i"))).withColumn("len", start(n, F.col("k"), F.col("i") + 1) - F.col("at"))
-    # Texts no longer than their number of pieces have empty ones, under which they meet by length alone.
-    r = r.withColumn("piece", F.substring(F.col("rt"), F.col("at") + 1, F.col("len"))).select("b", F.col("n").alias("rn"), "i", "piece", "rt", "__r")
-    lengths = F.sequence(F.ceil(F.col("n") * (1 - share) / (1 + share) - 1e-9).cast("int"), most)
-    l = l.withColumn("n", F.length("lt")).withColumn("rn", F.explode(lengths)).filter("rn > 0")  # noqa: E741
-    partner = F.floor(F.col("rn") * (1 + share) / (1 - share) + 1e-9).cast("int")
-    l = l.withColumn("k", F.floor(share * (F.col("rn") + partner) + 1e-9).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k"))))  # noqa: E741
-    l = l.withColumn("at", start(F.col("rn"), F.col("k"), F.col("i"))).withColumn("len", start(F.col("rn"), F.col("k"), F.col("i") + 1) - F.col("at"))  # noqa: E741
-    room = F.floor(share * (F.col("n") + F.col("rn")) + 1e-9).cast("int")
-    places = F.sequence(F.greatest(F.col("at") - room, F.lit(0)), F.greatest(F.least(F.col("at") + room, F.col("n") - F.col("len")), F.greatest(F.col("at") - room, F.lit(0))))
-    runs = F.array_distinct(F.transform(places, lambda p: F.substring(F.col("lt"), p + 1, F.col("len"))))
-    l = l.withColumn("piece", F.explode(runs)).select("b", "rn", "i", "piece", "lt", "__l")  # noqa: E741
-    met = l.join(r, ["b", "rn", "i", "piece"]).select("__l", "__r", "lt", "rt").distinct()
-    met = met.filter(may_reach(F.col("lt"), F.col("rt"), least)).withColumn("score", ratio("lt", "rt")).filter(F.col("score") >= least)
-    return met.groupBy(F.col("__l").alias(left_id), F.col("__r").alias(right_id)).agg(F.max("score").alias("score"))
+    of = lambda df, key, text: df.select(block_text([block]).alias("b"), F.col(key).alias("id"), F.col(text).alias("t")).filter("t <> ''").distinct()
+    a, b = of(left, left_id, left_text), of(right, right_id, right_text)
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        i, j, score = similar(Texts(x["t"]), Texts(y["t"]), *codes(x["b"], y["b"]), least)
+        return pa.table({"l": x["id"].take(pa.array(i)), "r": y["id"].take(pa.array(j)), "score": score})
+
+    met = meet(a, b, work, f"l {dict(a.dtypes)['id']}, r {dict(b.dtypes)['id']}, score double")
+    return met.groupBy(F.col("l").alias(left_id), F.col("r").alias(right_id)).agg(F.max("score").alias("score"))
 
 
 def containing_texts(texts: DataFrame, text: str, parts: DataFrame, part: str) -> DataFrame:
