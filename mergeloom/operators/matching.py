@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions.fuzzy import may_reach, ratio
-from mergeloom.operators.similar import Texts, block_text, codes, meet, similar
+from mergeloom.operators.similar import Texts, block_text, codes, first_of, in_order, meet, similar
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, left_id: str, right_id: str, least: float, first: bool = False, strict: bool = False) -> DataFrame:
@@ -31,30 +32,42 @@ def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], left_text:
     return best.select(F.col("__lid").alias(left_id), F.col("b.__rid").alias(right_id), F.col("b.score").alias("score"))
 
 
-def ranked_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, tests: list[tuple[str, list[tuple[str, str]], float, int]], agree: Column | None = None) -> DataFrame:
+def ranked_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, tests: list[tuple[str, list[tuple[str, str]], float, int]], alike: str | None = None) -> DataFrame:
     """(left_id, right_id, how, score): for each left record the best right record of its block by several tests.
 
     tests: (name, pairs of left and right columns of which the better score counts, least score, tier); a lower tier goes
-    first whatever its score, then the greater score, then the earlier test, then the least right id. agree: a condition on
-    the pair, with the sides as `l` and `r`. Null blocks and texts match nothing. Pairs are formed by the block only, and
-    only those that may pass some test are scored.
+    first whatever its score, then the greater score, then the earlier test, then the least right id. alike: a column that
+    must be equal where both records have it. Null blocks and texts match nothing. Every pair of a block counts, but blocks
+    meet in parts (`similar.meet`), which give the best of each left record.
     """
-    met = left.alias("l").join(right.alias("r"), [F.col(f"l.{b}") == F.col(f"r.{b}") for b in block])
-    met = met if agree is None else met.filter(agree)
-    pairs = [(x, y, least) for _, columns, least, _ in tests for x, y in columns]
-    may = [F.coalesce(may_reach(F.col(f"l.{x}"), F.col(f"r.{y}"), least), F.lit(False)) for x, y, least in pairs]
-    hope = may[0]
-    for m in may[1:]:
-        hope = hope | m
-    met = met.filter(hope).select(F.col(f"l.{left_id}").alias("__l"), F.col(f"r.{right_id}").alias("__r"), *[ratio(F.col(f"l.{x}"), F.col(f"r.{y}")).alias(f"__s{i}") for i, (x, y, _) in enumerate(pairs)])
-    hits, i = [], 0
-    for k, (name, columns, least, tier) in enumerate(tests):
-        scores = [F.coalesce(F.col(f"__s{i + j}"), F.lit(-1.0)) for j in range(len(columns))]
-        i += len(columns)
-        best = F.greatest(*scores) if len(scores) > 1 else scores[0]
-        hits.append(F.when(best >= least, F.struct(F.lit(tier).alias("tier"), (-best).alias("neg"), F.lit(k).alias("test"), "__r", F.lit(name).alias("how"))))
-    top = met.select("__l", F.array_min(F.array_compact(F.array(*hits))).alias("b")).filter("b is not null").groupBy("__l").agg(F.min("b").alias("b"))
-    return top.select(F.col("__l").alias(left_id), F.col("b.__r").alias(right_id), "b.how", F.round(-F.col("b.neg"), 4).alias("score"))
+    sides = [sorted({pair[k] for _, columns, _, _ in tests for pair in columns}) for k in (0, 1)]
+    of = lambda df, key, texts: df.select(block_text(block).alias("b"), F.col(key).alias("id"), *[F.col(c).alias(f"t_{c}") for c in texts], *([F.col(alike).alias("alike")] if alike else []))
+    a, b = of(left, left_id, sides[0]), of(right, right_id, sides[1])
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        blocks, place, keep = codes(x["b"], y["b"]), in_order(y["id"]), None
+        if alike:
+            h, g = codes(x["alike"], y["alike"])
+            keep = lambda i, j: (h[i] == g[j]) | (h[i] < 0) | (g[j] < 0)
+        tx, ty = {c: Texts(x[f"t_{c}"]) for c in sides[0]}, {c: Texts(y[f"t_{c}"]) for c in sides[1]}
+        none = np.zeros(0, np.int64)
+        i, j, tier, neg, test = none, none, none, np.zeros(0), none
+        for k in sorted(range(len(tests)), key=lambda k: (tests[k][3], k)):
+            _, columns, least, own = tests[k]
+            # Nothing beats a lower tier or, by an earlier test, equal texts.
+            open_ = blocks[0].copy()
+            open_[i[(tier < own) | (neg == -100)]] = -1
+            for c, d in columns:
+                u, v, score = similar(tx[c], ty[d], open_, blocks[1], least, keep)
+                i, j, tier, neg, test = np.r_[i, u], np.r_[j, v], np.r_[tier, np.full(len(u), own)], np.r_[neg, -score], np.r_[test, np.full(len(u), k)]
+            first = first_of(i, tier, neg, test, place[j])
+            i, j, tier, neg, test = i[first], j[first], tier[first], neg[first], test[first]
+        return pa.table({"l": x["id"].take(pa.array(i)), "r": y["id"].take(pa.array(j)), "tier": pa.array(tier, pa.int32()), "neg": neg, "test": pa.array(test, pa.int32())})
+
+    met = meet(a, b, work, f"l {dict(a.dtypes)['id']}, r {dict(b.dtypes)['id']}, tier int, neg double, test int")
+    top = met.groupBy("l").agg(F.min(F.struct("tier", "neg", "test", "r")).alias("b"))
+    how = F.element_at(F.array(*[F.lit(name) for name, *_ in tests]), F.col("b.test") + 1)
+    return top.select(F.col("l").alias(left_id), F.col("b.r").alias(right_id), how.alias("how"), F.round(-F.col("b.neg"), 4).alias("score"))
 
 
 def similar_texts(left: DataFrame, right: DataFrame, block: str, left_text: str, right_text: str, left_id: str, right_id: str, least: float) -> DataFrame:

@@ -68,8 +68,7 @@ def each_once_92(spark: SparkSession, d: str) -> DataFrame:
 def street_then_name(spark: SparkSession, d: str) -> DataFrame:
     """Offices matched in their ZIP by address where the house numbers do not contradict, by name where no address does."""
     p, o = _sides(spark, d)
-    agree = C("l.h").isNull() | C("r.h").isNull() | (C("l.h") == C("r.h"))
-    return ranked_match(o, p, ["z"], "id", "npi", [("address", [("a", "a")], 80, 0), ("name", [("n", "n")], 75, 1)], agree)
+    return ranked_match(o, p, ["z"], "id", "npi", [("address", [("a", "a")], 80, 0), ("name", [("n", "n")], 75, 1)], "h")
 
 
 @query(f"""with {_P}, {_O}, f as (select o.id, min(p.npi) npi from o join p on o.z=p.z and o.ph=p.ph group by 1), s as (select o.id, p.npi, {_near('o.a', 'p.a', 85)} sa, {_near('o.n', 'p.n', 80)} sn, {_near('o.n', 'p.d', 80)} sd from o join p using (z)),

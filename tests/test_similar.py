@@ -61,3 +61,24 @@ def test_similar_texts_in_small_parts(spark, small_parts):
     a, b, left, right = tables(spark, 1)
     want = sorted((i, j) for i, z, _, _, t in a for j, y, _, _, u in b if z and z == y and score(t, u) >= 75)
     assert want and rows(similar_texts(left, right.withColumnRenamed("id", "rid"), "z", "n", "n", "id", "rid", 75).select("id", "rid")) == want
+
+
+def test_ranked_match_in_small_parts(spark, small_parts):
+    from mergeloom.operators.matching import ranked_match
+
+    a, b, left, right = tables(spark, 2)
+    for alike in (None, "h"):
+        for tiers in ((0, 1), (0, 0)):
+            want = []
+            for i, z, h, s, t in a:
+                met = [x for x in b if z and z == x[1] and (not alike or not h or not x[2] or h == x[2])]
+                best = [(tiers[0], -score(s, x[3]), 0, x[0]) for x in met if score(s, x[3]) >= 80]
+                best += [(tiers[1], -max(score(t, x[4]), score(t, x[3])), 1, x[0]) for x in met if max(score(t, x[4]), score(t, x[3])) >= 75]
+                want += [(i, min(best)[3], ("address", "name")[min(best)[2]], round(-min(best)[1], 4))] if best else []
+            tests = [("address", [("a", "a")], 80, tiers[0]), ("name", [("n", "n"), ("n", "a")], 75, tiers[1])]
+            assert want and rows(ranked_match(left, right.withColumnRenamed("id", "rid"), ["z"], "id", "rid", tests, alike)) == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_street_then_name_forms_no_rows_of_pairs(spark):
+    assert "levenshtein" not in planned(spark, "street_then_name")
