@@ -82,3 +82,8 @@ def test_ranked_match_in_small_parts(spark, small_parts):
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 def test_street_then_name_forms_no_rows_of_pairs(spark):
     assert "levenshtein" not in planned(spark, "street_then_name")
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_door_match_forms_no_rows_of_pairs(spark):
+    assert "levenshtein" not in planned(spark, "door_match")
