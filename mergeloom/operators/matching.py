@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from mergeloom.functions.fuzzy import may_reach, ratio
-from mergeloom.operators.similar import Texts, block_text, codes, first_of, in_order, meet, similar
+from mergeloom.operators.similar import Texts, block_text, codes, first_of, in_order, meet, ratios, similar
 
 
 def fuzzy_match(left: DataFrame, right: DataFrame, block: list[str], left_text: str, right_text: str, left_id: str, right_id: str, least: float, first: bool = False, strict: bool = False) -> DataFrame:
@@ -70,6 +70,39 @@ def ranked_match(left: DataFrame, right: DataFrame, block: list[str], left_id: s
     return top.select(F.col("l").alias(left_id), F.col("b.r").alias(right_id), how.alias("how"), F.round(-F.col("b.neg"), 4).alias("score"))
 
 
+def weighed_match(left: DataFrame, right: DataFrame, block: list[str], left_id: str, right_id: str, first: tuple[str, float, float], second: tuple[str, float, float], least: float) -> DataFrame:
+    """(left_id, right_id, score): for each left record the right record of its block with the best weighed score.
+
+    first, second: (column, least score, weight). Where the first column reaches its least score, both scores are added by
+    their weights; else the second counts alone from its least score on. Sums from `least` on are rounded to four digits,
+    ties go to the least right id. Records without the second column match nothing, nor do null blocks.
+    """
+    (one, least_one, w_one), (two, least_two, w_two) = first, second
+    of = lambda df, key: df.select(block_text(block).alias("b"), F.col(key).alias("id"), F.col(one).alias("one"), F.col(two).alias("two")).filter("two is not null")
+    a, b = of(left, left_id), of(right, right_id)
+
+    def work(x: pa.Table, y: pa.Table) -> pa.Table:
+        blocks, place, rows = codes(x["b"], y["b"]), in_order(y["id"]), max(1, y.num_rows)
+        x2, y2 = Texts(x["two"]), Texts(y["two"])
+        i, j, score = similar(Texts(x["one"]), Texts(y["one"]), *blocks, least_one)
+        score = w_one * score + w_two * ratios(x2, y2, i, j)
+        u, v, alone = similar(x2, y2, *blocks, least_two)
+        new = ~np.isin(u * rows + v, i * rows + j)
+        i, j, score = np.r_[i, u[new]], np.r_[j, v[new]], np.r_[score, alone[new]]
+        best = np.full(x.num_rows, -np.inf)
+        np.maximum.at(best, i, score)
+        # Scores that rounding may make equal stay together.
+        near = np.flatnonzero((score >= least) & (score >= best[i] - 2e-4))
+        i, j, score = i[near], j[near], score[near]
+        _, value = np.unique(score, return_inverse=True)
+        top = first_of(i * (len(value) + 1) + value, place[j])
+        return pa.table({"l": x["id"].take(pa.array(i[top])), "r": y["id"].take(pa.array(j[top])), "score": score[top]})
+
+    met = meet(a, b, work, f"l {dict(a.dtypes)['id']}, r {dict(b.dtypes)['id']}, score double").withColumn("score", F.round("score", 4))
+    top = met.groupBy("l").agg(F.min(F.struct((-F.col("score")).alias("neg"), "r")).alias("b"))
+    return top.select(F.col("l").alias(left_id), F.col("b.r").alias(right_id), (-F.col("b.neg")).alias("score"))
+
+
 def similar_texts(left: DataFrame, right: DataFrame, block: str, left_text: str, right_text: str, left_id: str, right_id: str, least: float) -> DataFrame:
     """(left_id, right_id, score) of all pairs of a block whose texts' ratio is at least `least`.
 

@@ -10,7 +10,7 @@ from mergeloom.functions.fuzzy import ratio, token_sort
 from mergeloom.functions.address import house_number
 from mergeloom.functions.text import host
 from mergeloom.operators.graph import connected_components
-from mergeloom.operators.matching import band_pairs, fuzzy_match, ranked_match, similar_texts
+from mergeloom.operators.matching import band_pairs, fuzzy_match, ranked_match, similar_texts, weighed_match
 from mergeloom.operators.merge import first_known, insert_if_absent
 from mergeloom.plans.linking import PHONE_SQL, RATIO_SQL, TOKEN_SQL, ZIP_SQL
 from mergeloom.plans.registry import query
@@ -88,14 +88,7 @@ def door_match(spark: SparkSession, d: str) -> DataFrame:
 def weighted_match(spark: SparkSession, d: str) -> DataFrame:
     """Address and name weighed 6 to 4 where the address reaches 80, else the name alone from 75 on; the best from 50 on."""
     p, o = _sides(spark, d)
-    from mergeloom.functions.fuzzy import may_reach
-
-    both = o.filter("n is not null").alias("l").join(p.filter("n is not null").alias("r"), "z")
-    hopeful = F.coalesce(may_reach(C("l.n"), C("r.n"), 75), F.lit(False)) | F.coalesce(may_reach(C("l.a"), C("r.a"), 80), F.lit(False))
-    s = both.filter(hopeful).select("id", "npi", ratio(C("l.n"), C("r.n")).alias("sn"), ratio(C("l.a"), C("r.a")).alias("sa"))
-    s = s.withColumn("score", F.round(F.when(C("sa") >= 80, 0.6 * C("sa") + 0.4 * C("sn")).when(C("sn") >= 75, C("sn")), 4)).filter("score >= 50")
-    best = s.groupBy("id").agg(F.min(F.struct((-C("score")).alias("x"), "npi")).alias("b"))
-    return best.select("id", "b.npi", (-C("b.x")).alias("score"))
+    return weighed_match(o, p, ["z"], "id", "npi", ("a", 80, 0.6), ("n", 75, 0.4), 50)
 
 
 _STATE = "upper(trim({0}))"

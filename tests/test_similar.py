@@ -87,3 +87,24 @@ def test_street_then_name_forms_no_rows_of_pairs(spark):
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 def test_door_match_forms_no_rows_of_pairs(spark):
     assert "levenshtein" not in planned(spark, "door_match")
+
+
+def test_weighed_match_in_small_parts(spark, small_parts):
+    from mergeloom.operators.matching import weighed_match
+
+    a, b, left, right = tables(spark, 3)
+    want = []
+    for i, z, _, s, t in a:
+        best = []
+        for j, y, _, u, v in b:
+            if z and z == y and t and v:
+                w = 0.6 * score(s, u) + 0.4 * score(t, v) if score(s, u) >= 80 else score(t, v) if score(t, v) >= 75 else 0
+                best += [(-round(w, 4), j)] if w >= 50 else []
+        want += [(i, min(best)[1], -min(best)[0])] if best else []
+    got = rows(weighed_match(left, right.withColumnRenamed("id", "rid"), ["z"], "id", "rid", ("a", 80, 0.6), ("n", 75, 0.4), 50))
+    assert want and got == want
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_weighted_match_forms_no_rows_of_pairs(spark):
+    assert "levenshtein" not in planned(spark, "weighted_match")
