@@ -35,7 +35,7 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def token_sort(c: Column) -> Column:
     """Words sorted and joined by one space."""
-    return F.array_join(F.array_sort(F.filter(F.split(F.trim(c), r"\s+"), lambda w: w != "")), " ")
+    return F.array_join(F.sort_array(F.array_remove(F.split(F.trim(c), r"\s+"), "")), " ")
 
 
 def may_reach(a: Column, b: Column, least: float) -> Column:

@@ -20,9 +20,12 @@ from mergeloom.functions.fuzzy import lcs_length
 #: Rows of one block, left and right, that meet in one part.
 LEFT, RIGHT = 4096, 16384
 #: Pairs whose signatures, and letters of right texts, that are compared at once.
-_AT_ONCE, _LETTERS_AT_ONCE = 1 << 18, 1 << 20
+_AT_ONCE, _LETTERS_AT_ONCE = 1 << 18, 1 << 22
+#: Pairs that go through the letters together; their bits stay in the processor's cache.
+_PAIRS_AT_ONCE = 1 << 13
 #: Bits of a word of the bit-parallel comparison; texts longer than this on the left are compared one by one.
 _WORD = 64
+_ONE_BIT = np.uint64(1) << np.arange(64, dtype=np.uint64)
 
 
 def block_text(block: list[str]) -> Column:
@@ -56,24 +59,38 @@ class Texts:
     """Letters and signatures of an array of texts; a null has length -1."""
 
     def __init__(self, texts: pa.ChunkedArray):
-        self.text = texts.to_pylist()
-        self.n = np.array([-1 if t is None else len(t) for t in self.text], dtype=np.int64)
+        self.text = texts
+        self.n = pc.fill_null(pc.utf8_length(texts), -1).to_numpy().astype(np.int64)
         own = np.maximum(self.n, 0)
         self.off = np.cumsum(own) - own
+        joined = b"".join(_bytes(x) for x in texts.chunks)
         # A lone surrogate cannot come from Spark's UTF-8, so every text has an encoding.
-        self.letters = np.frombuffer("".join(t for t in self.text if t).encode("utf-32-le"), dtype=np.uint32)
-        row, c = np.repeat(np.arange(len(own)), own), self.letters
-        slot = np.where((c >= 97) & (c <= 122), c - 97, np.where((c >= 48) & (c <= 57), c - 22, np.where(c == 32, 36, 37 + c % 3))).astype(np.int64)
-        order = np.argsort(row * 64 + slot, kind="stable")
-        key = (row * 64 + slot)[order]
-        new = np.ones(len(key), dtype=bool)
-        new[1:] = key[1:] != key[:-1]
-        nth = np.arange(len(key)) - np.maximum.accumulate(np.where(new, np.arange(len(key)), 0)) if len(key) else key
-        bit = (slot[order] + 40 * nth) % 128
-        self.signs = np.zeros((2, len(own)), np.uint64)
-        for word in (0, 1):
-            here = bit // 64 == word
-            np.bitwise_or.at(self.signs[word], row[order][here], np.uint64(1) << (bit[here] % 64).astype(np.uint64))
+        self.letters = np.frombuffer(joined, dtype=np.uint8) if len(joined) == own.sum() else np.frombuffer(joined.decode().encode("utf-32-le"), dtype=np.uint32)
+        c = self.letters.astype(np.int32)
+        slots = np.where((c >= 97) & (c <= 122), c - 97, np.where((c >= 48) & (c <= 57), c - 22, np.where(c == 32, 36, 37 + c % 3))).astype(np.uint8)
+        # Letter by letter over all texts at once, longest first, so that those that have one more are the first ones.
+        # Bits go by use mod 16 (40 * 16 is a multiple of 128), so that bytes may overflow.
+        order = np.argsort(-own, kind="stable")
+        having = np.searchsorted(-own[order], -np.arange(1, int(own.max(initial=0)) + 1), "right")
+        off, uses, signs = self.off[order], np.zeros(40 * len(own), np.uint8), np.zeros(2 * len(own), np.uint64)
+        first, word = np.arange(len(own)) * 40, np.arange(len(own)) * 2
+        for k, n in enumerate(having):
+            slot = slots[off[:n] + k]
+            at = first[:n] + slot
+            use = uses[at]
+            uses[at] = use + np.uint8(1)
+            bit = (slot + np.uint8(40) * use) & np.uint8(127)
+            signs[word[:n] + (bit >> np.uint8(6))] |= _ONE_BIT[bit & np.uint8(63)]
+        self.signs = np.empty((2, len(own)), np.uint64)
+        self.signs[:, order] = signs.reshape(-1, 2).T
+
+
+def _bytes(texts: pa.Array) -> memoryview | bytes:
+    """The texts one after the other in UTF-8, nulls as empty."""
+    texts = pc.fill_null(texts, "")
+    kind = np.int64 if pa.types.is_large_string(texts.type) else np.int32
+    off = np.frombuffer(texts.buffers()[1], kind)[texts.offset : texts.offset + len(texts) + 1]
+    return memoryview(texts.buffers()[2])[off[0] : off[-1]] if len(texts) and texts.buffers()[2] else b""
 
 
 def codes(left: pa.ChunkedArray, right: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,33 +104,41 @@ def _common(a: Texts, b: Texts, i: np.ndarray, j: np.ndarray) -> np.ndarray:
     """Length of the longest common subsequence of each pair; a row of the table is one word of bits."""
     out = np.zeros(len(i), np.int64)
     for k in np.flatnonzero(a.n[i] > _WORD):
-        out[k] = lcs_length(a.text[i[k]], b.text[j[k]])
+        out[k] = lcs_length(a.text[i[k]].as_py(), b.text[j[k]].as_py())
     short = np.flatnonzero(a.n[i] <= _WORD)
     i, j = i[short], j[short]
     if not len(i):
         return out
+    bits = np.zeros(len(i), np.uint64)
     used, at = np.unique(i, return_inverse=True)
     own = a.n[used]
     pos = np.arange(own.sum()) - np.repeat(np.cumsum(own) - own, own)
     letters = a.letters[np.repeat(a.off[used], own) + pos]
     alphabet = np.unique(letters)
     width = len(alphabet) + 1
+    # Number of a letter among those of the left texts; what they lack and the padding share the last one, which has no bits.
+    number = np.full(int(max(letters.max(initial=0), b.letters.max(initial=0))) + 1, width - 1, np.int32)
+    number[alphabet] = np.arange(len(alphabet))
     where = np.zeros(len(used) * width, np.uint64)
-    np.bitwise_or.at(where, np.repeat(np.arange(len(used)), own) * width + np.searchsorted(alphabet, letters), np.uint64(1) << pos.astype(np.uint64))
-    long = int(b.n[j].max())
-    # Letters of the right texts, step by step; what the left ones lack and the padding have no bits.
-    steps = np.minimum(b.off[j] + np.arange(long)[:, None], max(len(b.letters) - 1, 0))
-    step = b.letters[steps] if len(b.letters) else np.zeros(steps.shape, np.uint32)
-    found = np.minimum(np.searchsorted(alphabet, step), max(width - 2, 0))
-    found = np.where((alphabet[found] == step) & (np.arange(long)[:, None] < b.n[j]), found, width - 1) if width > 1 else np.zeros(steps.shape, np.int64)
-    found += at * width
-    row = np.full(len(i), ~np.uint64(0))
-    for x in found:
-        hit = row & where[x]
-        row = (row + hit) | (row - hit)
+    np.bitwise_or.at(where, np.repeat(np.arange(len(used)), own) * width + number[letters], np.uint64(1) << pos.astype(np.uint64))
+    others, right = np.unique(j, return_inverse=True)
+    theirs = b.n[others]
+    nth = np.arange(theirs.sum()) - np.repeat(np.cumsum(theirs) - theirs, theirs)
+    steps = np.full((int(theirs.max()), len(others)), width - 1, np.int32)
+    steps[nth, np.repeat(np.arange(len(others)), theirs)] = number[b.letters[np.repeat(b.off[others], theirs) + nth]]
+    for k in range(0, len(i), _PAIRS_AT_ONCE):
+        part = slice(k, k + _PAIRS_AT_ONCE)
+        base, y, row = at[part] * width, right[part], np.full(len(at[part]), ~np.uint64(0))
+        for x in steps[: int(theirs[y].max())]:
+            hit = where[x[y] + base]
+            hit &= row
+            rest = row - hit
+            row += hit
+            row |= rest
+        bits[part] = row
     n = a.n[i].astype(np.uint64)
     full = np.where(n == _WORD, ~np.uint64(0), (np.uint64(1) << (n % np.uint64(_WORD))) - np.uint64(1))
-    out[short] = np.bitwise_count(~row & full)
+    out[short] = np.bitwise_count(~bits & full)
     return out
 
 

@@ -14,7 +14,7 @@ from mergeloom.operators.matching import band_pairs, fuzzy_match, ranked_match,
 from mergeloom.operators.merge import first_known, insert_if_absent
 from mergeloom.plans.linking import PHONE_SQL, RATIO_SQL, TOKEN_SQL, ZIP_SQL
 from mergeloom.plans.registry import query
-from mergeloom.session import table
+from mergeloom.session import Scratch, table
 
 C = F.col
 _HOUSE = "nullif(regexp_extract(address,'^ *([0-9]+)',1),'')"
@@ -78,9 +78,10 @@ def door_match(spark: SparkSession, d: str) -> DataFrame:
     """Offices matched in their ZIP by an equal telephone, else by the best of address (85) and name or trade name (80)."""
     p, o = _sides(spark, d)
     phones = o.select("id", "z", "ph").join(p.select("npi", "z", "ph"), ["z", "ph"]).groupBy("id").agg(F.min("npi").alias("npi"))
-    phones = phones.select("id", "npi", F.lit("phone").alias("how"), F.lit(100.0).alias("score"))
+    # Written once, as it is used twice.
+    phones = Scratch(spark).cut(phones)
     rest = o.join(phones.select("id"), "id", "left_anti")
-    return phones.unionByName(ranked_match(rest, p, ["z"], "id", "npi", [("address", [("a", "a")], 85, 0), ("name", [("n", "n"), ("n", "d")], 80, 0)]))
+    return phones.select("id", "npi", F.lit("phone").alias("how"), F.lit(100.0).alias("score")).unionByName(ranked_match(rest, p, ["z"], "id", "npi", [("address", [("a", "a")], 85, 0), ("name", [("n", "n"), ("n", "d")], 80, 0)]))
 
 
 @query(f"""with {_P}, {_O}, s as (select o.id, p.npi, {RATIO_SQL.format('o.n', 'p.n')} sn, {_near('o.a', 'p.a', 80)} sa from o join p using (z) where o.n is not null and p.n is not null and (levenshtein(o.n,p.n) <= floor(0.25*(len(o.n)+len(p.n))) or levenshtein(o.a,p.a) <= floor(0.2*(len(o.a)+len(p.a))))),

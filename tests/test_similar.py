@@ -108,3 +108,25 @@ def test_weighed_match_in_small_parts(spark, small_parts):
 @pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
 def test_weighted_match_forms_no_rows_of_pairs(spark):
     assert "levenshtein" not in planned(spark, "weighted_match")
+
+
+def test_comparing_many_pairs_looks_up_each_letter_once(monkeypatch):
+    import numpy as np
+    import pyarrow as pa
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("abcé \U0001f600xyz") for _ in range(rng.choice((0, 3, 30, 63, 64, 65, 90)))) for _ in range(60)]
+    sought, search = [], np.searchsorted
+    x, y = similar.Texts(pa.chunked_array([texts[:20], [None, *texts[20:40]]])), similar.Texts(pa.chunked_array([[*texts[40:], None]]))
+    i, j = (k.ravel() for k in np.meshgrid(np.flatnonzero(x.n >= 0), np.flatnonzero(y.n >= 0)))
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *more, **named: sought.append(np.size(v)) or search(a, v, *more, **named))
+    got = similar.ratios(x, y, i, j)
+    a, b = [*texts[:20], None, *texts[20:40]], texts[40:]
+    assert len(got) == 800 and got.tolist() == [indel(a[p], b[q]) for p, q in zip(i, j)]
+    assert sum(sought) <= sum(map(len, texts))
+
+
+@pytest.mark.skipif(not os.path.isdir(DIR), reason="no test tables here")
+def test_door_match_finds_telephones_once(spark):
+    plan = planned(spark, "door_match")
+    assert "practices.parquet" in plan and "phone" not in plan.replace("phone AS how", "")
