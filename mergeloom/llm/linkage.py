@@ -10,12 +10,13 @@ that it matches.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -232,18 +233,28 @@ def edits(a: str, b: str, most: int) -> int:
     """Insertions, deletions, substitutions and swaps of neighbours between two words, most + 1 if more."""
     if abs(len(a) - len(b)) > most or (_letters(a) ^ _letters(b)).bit_count() > 2 * most:
         return most + 1
-    before, last = [], list(range(len(b) + 1))
-    for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            d = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
-            if i > 1 and j > 1 and x == b[j - 2] and y == a[i - 2]:
-                d = min(d, before[j - 2] + 1)
-            row.append(d)
-        if min(row) > most:
-            return most + 1
-        before, last = last, row
-    return last[-1]
+    # Columns of the table of distances as bits: where a cell is one more or one less than the one above it (Hyyrö 2003).
+    where = _places(a)
+    full, top = (1 << len(a)) - 1, 1 << len(a) >> 1
+    more, less, same, before, far = full, 0, 0, 0, len(a)
+    for y in b:
+        here = where.get(y, 0)
+        swap = (~same & here) << 1 & before
+        same = (((here & more) + more) ^ more | here | less | swap) & full
+        right, left = less | ~(same | more) & full, same & more
+        far += (1 if right & top else 0) - (1 if left & top else 0)
+        right, left = (right << 1 | 1) & full, left << 1 & full
+        more, less, before = left | ~(same | right) & full, right & same, here
+    return min(far if a else len(b), most + 1)
+
+
+@lru_cache(1 << 16)
+def _places(word: str) -> dict[str, int]:
+    """Of each letter of the word its places as bits."""
+    where: dict[str, int] = {}
+    for i, x in enumerate(word):
+        where[x] = where.get(x, 0) | 1 << i
+    return where
 
 
 def respell(word: str, spelt: dict[str, str]) -> str | None:
@@ -317,47 +328,116 @@ def _streets_alike(a: str, b: str) -> bool:
     return na == nb and len(ga & gb) / max(1, (len(ga) * len(gb)) ** 0.5) >= 0.5
 
 
-def _street_level(d: dict, i: int) -> int:
+_COMPARED = ("words", "phone", "number", "dir", "street", "type", "unit", "zip", "city", "state")
+#: Pairs that are compared at once, and of these, pairs of names that are scored at once. A score this near to a step is taken again.
+_PAIRS, _SCORED, _NEAR = 1 << 13, 1 << 11, 1e-9
+#: Words of a name up to which it is scored with others at once.
+_WORDS = 8
+
+
+class _Field:
+    """A field of both sides of a batch: distinct texts, and their numbers; given where a text is neither null nor empty."""
+
+    def __init__(self, batch: pa.RecordBatch, f: str):
+        coded = pa.concat_arrays([batch.column(f"{f}_{s}") for s in "ab"]).dictionary_encode()
+        self.texts: list[str] = coded.dictionary.to_pylist()
+        code = pc.fill_null(coded.indices, -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        given = np.array([t != "" for t in self.texts] + [False])[code]
+        self.a, self.b = code[: batch.num_rows], code[batch.num_rows :]
+        self.given_a, self.given_b = given[: batch.num_rows], given[batch.num_rows :]
+        self.given = self.given_a & self.given_b
+        self.equal = self.given & (self.a == self.b)
+
+    def alike(self, rows: np.ndarray, test: Callable[[str, str], bool]) -> np.ndarray:
+        """test of the two texts where `rows` holds, once for each two different texts; False elsewhere."""
+        out, at = np.zeros(len(rows), bool), np.flatnonzero(rows)
+        pairs, back = np.unique(self.a[at] * len(self.texts) + self.b[at], return_inverse=True)
+        out[at] = np.array([test(self.texts[k // len(self.texts)], self.texts[k % len(self.texts)]) for k in pairs.tolist()], bool)[back]
+        return out
+
+
+def _street_levels(number: _Field, dir: _Field, street: _Field, type: _Field, unit: _Field) -> np.ndarray:
     """0 other, 1 same number or street only, 2 same building, other unit, 3 same building, unit open, 4 same unit, 5 missing."""
-    na, nb = d["number_a"][i], d["number_b"][i]
-    if not na or not nb:
-        return 5
-    sa, sb = d["street_a"][i], d["street_b"][i]
-    alike = sa == sb or _streets_alike(sa, sb)
-    open_ = lambda x, y: not x or not y or x == y
-    alike = alike and open_(d["dir_a"][i], d["dir_b"][i]) and open_(d["type_a"][i], d["type_b"][i])
-    if na != nb or not alike:
-        return 1 if alike or na == nb else 0
-    ua, ub = d["unit_a"][i], d["unit_b"][i]
-    return 3 if not ua or not ub else 4 if ua == ub else 2
-
-
-def _place_level(d: dict, i: int) -> int:
+    open_ = lambda f: ~f.given | f.equal
+    alike = number.given & open_(dir) & open_(type)
+    alike &= (street.a == street.b) | street.alike(alike & (street.a != street.b), _streets_alike)
+    same = np.select([~unit.given, unit.equal], [3, 4], 2)
+    return np.select([~number.given, number.equal & alike, number.equal | alike], [5, same, 1], 0)
+
+
+def _place_levels(zip: _Field, city: _Field, state: _Field) -> np.ndarray:
     """0 other, 1 same state, 2 same city, 3 same ZIP, 4 missing."""
-    za, zb, ca, cb, sa, sb = (d[f"{f}_{s}"][i] for f in ("zip", "city", "state") for s in "ab")
-    if za and zb and za == zb:
-        return 3
-    if ca and cb and one_edit(ca, cb) and (not sa or not sb or sa == sb):
-        return 2
-    if not (za and zb) and not (ca and cb):
-        return 1 if sa and sb and sa == sb else 4 if not (sa and sb) else 0
-    return 1 if sa and sb and sa == sb else 0
+    near = city.alike(city.given & ~zip.equal & (~state.given | state.equal), one_edit)
+    unknown = ~zip.given & ~city.given & ~state.given
+    return np.select([zip.equal, near, state.equal, unknown], [3, 2, 1, 4], 0)
 
 
-_COMPARED = ("words", "phone", "number", "dir", "street", "type", "unit", "zip", "city", "state")
+@lru_cache(1 << 16)
+def _mistyped(a: str, b: str) -> bool:
+    """Whether `name_score` takes b for a with typing errors."""
+    most = 0 if len(a) < 4 else 1 if len(a) < 6 else 2
+    return edits(a, b, most) <= most
+
+
+def _name_levels(words: _Field, telling: float, rare: float) -> np.ndarray:
+    """`_name_level` of all pairs. Those whose words are equal or wholly different are scored at once, the others one by one."""
+    names = [_variants(t) for t in words.texts]
+    many = np.array([len(n) for n in names] + [0])
+    flat = [v for n in names for v in n]
+    number: dict[str, int] = {}
+    wide = max([1, *(len(v) for v in flat)])
+    size = min(wide, _WORDS)
+    ids, weights = np.full((len(flat), size), -1, np.int32), np.zeros((len(flat), size))
+    for k, v in enumerate(flat):
+        for c, (t, w) in enumerate(v[:size]):
+            ids[k, c], weights[k, c] = number.setdefault(t, len(number)), w
+    texts = list(number)
+    length, letters = np.array([len(t) for t in texts], np.int64), np.array([_letters(t) for t in texts], np.uint64)
+    most = np.select([length < 4, length < 6], [0, 1], 2)
+    n_a, n_b, start = many[words.a], many[words.b], np.cumsum(many) - many
+    levels, slow = np.full(len(words.a), LEVELS["name"] - 1), np.zeros(len(words.a), bool)
+    pair = np.repeat(np.arange(len(n_a)), n_a * n_b)
+    nth = np.arange(len(pair)) - np.repeat(np.cumsum(n_a * n_b) - n_a * n_b, n_a * n_b)
+    x, y = start[words.a[pair]] + nth // np.maximum(n_b[pair], 1), start[words.b[pair]] + nth % np.maximum(n_b[pair], 1)
+    long = np.array([len(v) > size for v in flat] + [False])
+    slow[pair[long[x] | long[y]]] = True
+    best = np.full(len(n_a), -1.0)
+    for k in range(0, len(pair), _SCORED):
+        part = slice(k, k + _SCORED)
+        rows, i, j, w, v = pair[part], ids[x[part]], ids[y[part]], weights[x[part]], weights[y[part]]
+        equal = (i[:, :, None] == j[:, None, :]) & (i >= 0)[:, :, None]
+        shared = equal.any(2)
+        both = np.where(shared, np.minimum(w, np.take_along_axis(v, equal.argmax(2), 1)), 0.0).sum(1)
+        rest, free = (i >= 0) & ~shared, (j >= 0) & ~equal.any(1)
+        r, c, d = np.nonzero(rest[:, :, None] & free[:, None, :])
+        t, u = i[r, c].astype(np.int64), j[r, d].astype(np.int64)
+        hope = (most[t] > 0) & (np.abs(length[t] - length[u]) <= most[t]) & (np.bitwise_count(letters[t] ^ letters[u]) <= 2 * most[t])
+        r, t, u = r[hope], t[hope], u[hope]
+        two, back = np.unique(t * len(texts) + u, return_inverse=True)
+        wrong = np.array([_mistyped(texts[z // len(texts)], texts[z % len(texts)]) for z in two.tolist()], bool)[back]
+        slow[rows[r[wrong]]] = True
+        total = 2 * both + np.where(rest, w, 0.0).sum(1) + np.where(free, v, 0.0).sum(1)
+        score = 2 * both / np.where(total > 0, total, 1.0)
+        alone = (rest & (w >= telling)).any(1) & (free & (v >= telling)).any(1)
+        np.maximum.at(best, rows, np.where(alone, score / 3, score))
+    known = best >= 0
+    levels[known] = np.searchsorted(_NAME_STEPS, best[known], "right")
+    slow |= known & ((best >= _NAME_STEPS[-1] - _NEAR) | (np.abs(best[:, None] - np.array(_NAME_STEPS)).min(1) < _NEAR))
+    for k in np.flatnonzero(slow).tolist():
+        levels[k] = _name_level(names[words.a[k]], names[words.b[k]], telling, rare)
+    return levels
 
 
 def _compare(batches: Iterator[pa.RecordBatch], telling: float, rare: float) -> Iterator[pa.RecordBatch]:
-    for batch in (whole.slice(i, 4000) for whole in batches for i in range(0, whole.num_rows, 4000)):
-        d = {f"{f}_{s}": batch.column(f"{f}_{s}").to_pylist() for f in _COMPARED for s in "ab"}
-        n = range(batch.num_rows)
+    for batch in (whole.slice(i, _PAIRS) for whole in batches for i in range(0, whole.num_rows, _PAIRS)):
+        f = {c: _Field(batch, c) for c in _COMPARED}
         out = {
-            "name": [_name_level(_variants(x), _variants(y), telling, rare) for x, y in zip(d["words_a"], d["words_b"], strict=True)],
-            "phone": [2 if not x or not y else int(x == y) for x, y in zip(d["phone_a"], d["phone_b"], strict=True)],
-            "address": [_street_level(d, i) for i in n],
-            "place": [_place_level(d, i) for i in n],
+            "name": _name_levels(f["words"], telling, rare),
+            "phone": np.where(f["phone"].given, f["phone"].equal, 2),
+            "address": _street_levels(*[f[c] for c in ("number", "dir", "street", "type", "unit")]),
+            "place": _place_levels(f["zip"], f["city"], f["state"]),
         }
-        cols = [batch.column("id_a"), batch.column("id_b"), *[pa.array(out[f], pa.int32()) for f in FIELDS]]
+        cols = [batch.column("id_a"), batch.column("id_b"), *[pa.array(out[c].astype(np.int32)) for c in FIELDS]]
         yield pa.RecordBatch.from_arrays(cols, ["id_a", "id_b", *FIELDS])
 
 

@@ -85,3 +85,55 @@ def test_names_and_edits():
     assert name_score([], [], 4.6) == (0, 0)
     known = DENTAL.spelt()
     assert respell("dentstry", known) == "dental" and respell("aestheic", known) == "cosmetic" and respell("kelnan", known) is None and respell("mental", {}) is None
+
+
+def test_pairs_are_compared_together_and_only_names_nearly_alike_one_by_one(monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from mergeloom.llm import linkage
+
+    rng = random.Random(6)
+    known = ["brightwater", "brihgtwater", "kanzzova", "kanzova", "smile", "smyle", "dental", "ab", "é\U0001f600dental"]
+    other = ["".join(rng.choice("bcdfgjklmnpqrstvwxz") for _ in range(12)) for _ in range(60)]
+
+    def name(words):
+        return "|".join(f"{v}:{w}:{rng.choice((0.9, 2.5, 4.7, 7.6))}" for v in range(rng.choice((1, 1, 2))) for w in rng.sample(words, rng.randint(1, min(len(words), rng.choice((3, 4, 14)))))) or None
+
+    def batch(n, words):
+        pick = {"words": lambda: name(words) if rng.random() > 0.1 else None, "phone": lambda: rng.choice([None, "1", "2"]), "number": lambda: rng.choice(["", None, "5", "6"])}
+        pick |= {"dir": lambda: rng.choice(["", "n", "s"]), "street": lambda: rng.choice(["", "oak hill", "oak hil", "elm 5", "elm 6"]), "type": lambda: rng.choice(["", "st"]), "unit": lambda: rng.choice(["", None, "1", "2"])}
+        pick |= {"zip": lambda: rng.choice([None, "", "11111", "22222"]), "city": lambda: rng.choice([None, "", "dover", "dovr", "salem"]), "state": lambda: rng.choice([None, "il", "ny"])}
+        cols = {f"{f}_{s}": pa.array([pick[f]() for _ in range(n)], pa.string()) for f in linkage._COMPARED for s in "ab"}
+        return pa.RecordBatch.from_pydict({"id_a": pa.array(range(n)), "id_b": pa.array(range(n)), **cols})
+
+    def place(za, zb, ca, cb, sa, sb):
+        if za and zb and za == zb:
+            return 3
+        if ca and cb and linkage.one_edit(ca, cb) and (not sa or not sb or sa == sb):
+            return 2
+        return 1 if sa and sb and sa == sb else 4 if not (za and zb) and not (ca and cb) and not (sa and sb) else 0
+
+    def street(na, nb, da, db, sa, sb, ta, tb, ua, ub):
+        if not na or not nb:
+            return 5
+        alike = (sa == sb or linkage._streets_alike(sa, sb)) and all(not x or not y or x == y for x, y in ((da, db), (ta, tb)))
+        return (1 if alike or na == nb else 0) if na != nb or not alike else 3 if not ua or not ub else 4 if ua == ub else 2
+
+    x = batch(1500, known + other[:4])
+    of = lambda *fields: zip(*[x.column(f"{f}_{s}").to_pylist() for f in fields for s in "ab"], strict=True)
+    want = [[linkage._name_level(linkage._variants(a), linkage._variants(b), 4.6, 7.6) for a, b in of("words")], [2 if not a or not b else int(a == b) for a, b in of("phone")]]
+    want += [[street(*r) for r in of("number", "dir", "street", "type", "unit")], [place(*r) for r in of("zip", "city", "state")]]
+    got = pa.Table.from_batches(list(linkage._compare(iter([x]), 4.6, 7.6)))
+    assert [got[f].to_pylist() for f in linkage.FIELDS] == want and all(len(set(w)) > 2 for w in want)
+    assert pa.Table.from_batches(list(linkage._compare(iter([x.slice(0, 0)]), 4.6, 7.6)), schema=got.schema).num_rows == 0
+
+    scored, score = [], linkage.name_score
+    monkeypatch.setattr(linkage, "name_score", lambda *z: scored.append(1) or score(*z))
+    short = [w for w in other if len(set(w)) > 6]
+    y = batch(1500, short)
+    y = y.set_column(y.schema.get_field_index("words_a"), "words_a", pa.array([f"0:{a}:7.6|0:dental:0.9" for a in rng.choices(short[:20], k=1500)]))
+    y = y.set_column(y.schema.get_field_index("words_b"), "words_b", pa.array([f"0:{a}:7.6|0:dental:0.9" for a in rng.choices(short[20:], k=1500)]))
+    list(linkage._compare(iter([y]), 4.6, 7.6))
+    assert len(scored) == 0
